@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import struct
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,8 +78,8 @@ def _pack(block_bytes: int):
         def flush():
             lens = [-1 if t is None else len(t) for t in texts]
             data = b"".join(t for t in texts if t)
-            raw = np.frombuffer(data, np.uint8)
-            words = int(np.count_nonzero(~SPACES[raw[1:]] & SPACES[raw[:-1]])) + len(texts) if raw.size else 0
+            raw = SPACES[np.frombuffer(b" " + b" ".join(t for t in texts if t), np.uint8)]
+            words = int(np.count_nonzero(~raw[1:] & raw[:-1]))
             return pa.record_batch(
                 [pa.array([x], t) for x, t in ((base + seq, pa.int64()), (len(ids), pa.int64()), (len(data), pa.int64()), (words, pa.int64()), (ids, pa.list_(pa.int64())), (lens, pa.list_(pa.int32())), (_zip(data), pa.binary()))],
                 names=["block", "n_docs", "n_bytes", "n_words", "ids", "lens", "data"],
@@ -333,3 +334,14 @@ def span_lists(start: np.ndarray, end: np.ndarray, counts: np.ndarray) -> pa.Arr
 
 def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet into the shared checkpoint folder and read again."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        materialise(spark.range(0))  # sets the folder
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
