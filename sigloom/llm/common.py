@@ -70,7 +70,7 @@ def _unzip(data: bytes) -> bytes:
 
 def _pack(block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, seq = TaskContext.get().partitionId() << 32, 0
+        base, seq = TaskContext.get().partitionId() << 16, 0
         ids: list = []
         texts: list = []
         held = 0
