@@ -32,7 +32,9 @@ from . import common as c
 SCHEMA = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 GRAM = 32
 #: Segment bytes that one range should hold before equal ones collapse.
-RANGE_BYTES = 12 << 20
+RANGE_BYTES = 4 << 20
+#: Smaller than elsewhere: the passes hold several numbers for every byte of a block.
+BLOCK_BYTES = 3 << 20
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -62,7 +64,7 @@ class Runs:
                 gram = c.mix(c.spans_hash(sums, at, at + GRAM, c.BYTE_BASE))
                 # smallest by the upper half of the hash, then leftmost; the lower half holds the position
                 least = _sliding_min((gram >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64), min_len - GRAM + 1) & np.uint64(0xFFFFFFFF)
-                doc = np.repeat(np.arange(len(group)), lens[group])
+                doc = np.repeat(np.arange(len(group), dtype=np.int32), lens[group])
                 ok = doc[: len(least)] == doc[min_len - 1 :]
                 new = ok.copy()
                 new[1:] &= (least[1:] != least[:-1]) | ~ok[:-1]
@@ -71,7 +73,7 @@ class Runs:
                 last[:-1] &= new[1:] | ~ok[1:]
                 e = np.flatnonzero(last) + 1
                 starts.append(s + lo)
-                keys.append(gram[least[s].astype(np.int64)])
+                keys.append(c.mix(gram[least[s].astype(np.int64)]))  # mixed again: smallest hashes are small numbers
                 sizes.append(e - s)
                 group, held = [], 0
             if d >= 0:
@@ -96,7 +98,10 @@ class Runs:
 def gather(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The bytes of the given strings, one after another."""
     to = np.cumsum(length)
-    at = np.arange(to[-1] if len(to) else 0) + np.repeat(start - (to - length), length)
+    total = int(to[-1]) if len(to) else 0
+    kind = np.int32 if max(total, len(raw)) < 1 << 31 else np.int64
+    at = np.repeat((start - (to - length)).astype(kind), length)
+    at += np.arange(total, dtype=kind)
     return raw[at]
 
 
@@ -132,7 +137,7 @@ def repeated_suffixes(raw: np.ndarray, at: np.ndarray, min_len: int) -> np.ndarr
     return out
 
 
-def remove_repeated_bytes(docs: DataFrame, min_len: int = 100, hot: int = 50_000, block_bytes: int = c.BLOCK_BYTES) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, min_len: int = 100, hot: int = 50_000, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (maximal byte intervals removed) and kept bytes of every document.
 
     A byte goes if a string of ``min_len`` bytes that covers it also starts earlier: in a
@@ -168,7 +173,7 @@ def remove_repeated_bytes(docs: DataFrame, min_len: int = 100, hot: int = 50_000
         start, size, key = r.start[pick], r.size[pick], r.key[pick]
         if (seen == 2).any():
             s, z = r.start[seen == 2], r.size[seen == 2]
-            single = gather(np.arange(len(r.raw)), s, z)
+            single = gather(np.arange(len(r.raw), dtype=np.int32), s, z).astype(np.int64)
             start, size = np.concatenate([start, single]), np.concatenate([size, np.ones(len(single), np.int64)])
             one = r.hashes(single, np.full(len(single), min_len))
             key = np.concatenate([key, one])
@@ -225,7 +230,7 @@ def remove_repeated_bytes(docs: DataFrame, min_len: int = 100, hot: int = 50_000
         if len(left):
             text = gather(raw, place[left], length[left])
             ends = np.cumsum(length[left])
-            at = gather(np.arange(len(text)), ends - length[left], size[left])
+            at = gather(np.arange(len(text), dtype=np.int32), ends - length[left], size[left]).astype(np.int64)
             hit = np.flatnonzero(repeated_suffixes(text, at, min_len))
             seg = np.repeat(np.arange(len(left)), size[left])
             inside = at - np.repeat(ends - length[left], size[left])
@@ -246,13 +251,13 @@ def remove_repeated_bytes(docs: DataFrame, min_len: int = 100, hot: int = 50_000
         raw = np.frombuffer(b"".join(b.texts), np.uint8)
         lens = np.array([len(t) for t in b.texts], np.int64)
         begin = np.cumsum(lens) - lens
-        doc = np.repeat(np.arange(len(lens)), lens)
+        doc = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
         edge = np.zeros(len(raw) + 1, np.int32)
         for blob in right.column("blob").to_pylist():
             start, size = (x.astype(np.int64) for x in c.decode(blob))
             np.add.at(edge, start, 1)
             np.add.at(edge, start + size + min_len - 1, -1)
-        gone = np.cumsum(edge[:-1]) > 0
+        gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
         s, e = c.intervals(gone, doc)
         d = doc[s]
         kept_len = lens - np.bincount(doc[gone], minlength=len(lens))
