@@ -188,16 +188,17 @@ def _sets_table(docs: DataFrame, n: int, percent: int, block_bytes: int) -> Data
     return c.materialise(c.answer_blocks(blocks, counts, finish, DOC_SCHEMA))
 
 
-def _links(reps: DataFrame, percent: int, part: int) -> DataFrame:
-    """Links (a, b) between representatives that connect all whose sets are similar."""
-    prefix = reps.select("rep", F.explode(F.expr("slice(tokens, 1, n_prefix)")).alias("token"))
+def _links(sets: DataFrame, reps: DataFrame, percent: int, part: int) -> DataFrame:
+    """Links (a, b) between representatives (rep: a row_id of ``sets``) that connect all whose sets are similar."""
+    prefix = sets.where("tokens is not null").select("row_id", F.expr("slice(tokens, 1, n_prefix)").alias("prefix"))
+    prefix = prefix.join(reps, F.col("row_id") == F.col("rep")).select("rep", F.explode("prefix").alias("token"))
     hubs = prefix.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("token", "hub")
     near = prefix.join(hubs, "token").select("rep", "hub").distinct()
     groups = connected_components(near, "rep", "hub").select(F.col("node").alias("rep"), F.col("component").alias("group"))
-    members = reps.join(groups, "rep").select("rep", "n_shingles", "tokens", "group")
-    sizes = members.groupBy("group").agg(F.count("*").alias("group_size"))
-    members = members.join(sizes, "group").withColumn("parts", F.ceil(F.col("group_size") / part).cast("int"))
-    members = c.materialise(members.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")))
+    parts = groups.groupBy("group").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    groups = groups.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    # the one shuffle of whole sets, and only of those that have a candidate
+    members = c.materialise(sets.select("row_id", "n_shingles", "tokens").join(groups, F.col("row_id") == F.col("rep")).drop("row_id"))
     # every part meets itself and part 0
     own = members.withColumn("component", F.col("rep")).withColumn("other", F.explode(F.expr("case when part = 0 then sequence(0, parts - 1) else array(part) end")))
     own = own.withColumn("side", F.when(F.col("other") != F.col("part"), 1).otherwise(3))
@@ -227,9 +228,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block_byt
     """
     sets = _sets_table(docs, n, percent, block_bytes)
     named = sets.withColumn("name", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    classes = named.where("n_prefix > 0").groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("row_id").alias("rep"), F.min("name").alias("least"), F.first("tokens", ignorenulls=True).alias("tokens"), F.first("n_prefix").alias("n_prefix"))
+    classes = named.where("n_prefix > 0").groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("row_id").alias("rep"), F.min("name").alias("least"))
     classes = c.materialise(classes)
-    links = c.materialise(_links(classes.select("rep", "n_shingles", "tokens", "n_prefix"), percent, part))
+    links = c.materialise(_links(sets, classes.select("rep"), percent, part))
     joined = connected_components(links, "a", "b")
     # a class's component is named by the smallest doc_id in it
     placed = classes.select("rep", "least", F.col("sig_a").alias("c_a"), F.col("sig_b").alias("c_b"), F.col("n_shingles").alias("c_n")).join(joined, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("component", "rep"))
