@@ -32,7 +32,8 @@ SCHEMA = "doc_id long, spans array<struct<kind:string,start:long,end:long,base:b
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A start inside a run of digits fails where the run's first digit does, so only that is tried.
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -91,8 +92,8 @@ LOOKALIKES |= {"\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2024": ".", "\u30
 LOOKALIKES |= dict.fromkeys("\u00ad\u200b\u200c\u200d\u2060\ufeff", "")
 HOMOGLYPH = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + "]")
 #: What one of these stands between has to look like an address before it counts.
-AT = re.compile(r"[ \t]*[\[({<][ \t]*(?:at|@)[ \t]*[\])}>][ \t]*|(?<=[A-Za-z0-9_%+-])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:[ \t]*[\[({<][ \t]*(?:dot|\.)[ \t]*[\])}>][ \t]*|[ \t]+dot[ \t]+)[A-Za-z0-9])", re.I)
-DOT = re.compile(r"[ \t]*[\[({<][ \t]*(?:dot|\.)[ \t]*[\])}>][ \t]*|(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?=[A-Za-z0-9])", re.I)
+AT = re.compile(r"(?<![ \t])[ \t]*[\[({<][ \t]*(?:at|@)[ \t]*[\])}>][ \t]*|(?<=[A-Za-z0-9_%+-])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:[ \t]*[\[({<][ \t]*(?:dot|\.)[ \t]*[\])}>][ \t]*|[ \t]+dot[ \t]+)[A-Za-z0-9])", re.I)
+DOT = re.compile(r"(?<![ \t])[ \t]*[\[({<][ \t]*(?:dot|\.)[ \t]*[\])}>][ \t]*|(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?=[A-Za-z0-9])", re.I)
 #: Digit words.
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _ONE = r"(?:(?:double|triple)[ \t-]+)?(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
