@@ -70,8 +70,11 @@ def runs(events: DataFrame, key: str, at: str, label: str, late: str) -> DataFra
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that a bounded stream gives, as a table in memory (for tests and small inputs)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    shared = stream.sparkSession.sparkContext.getCheckpointDir()
+    if shared and mode == "complete":  # the state's folder; memory in append mode cannot recover from one
+        writer = writer.option("checkpointLocation", f"{shared}/stream-{name}")
+    writer.start().awaitTermination()
     return stream.sparkSession.table(name)
 
 
