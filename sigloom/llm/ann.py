@@ -2,8 +2,8 @@
 
 Vectors are dealt into blocks.  A block projects its vectors on ``projections`` random
 lines and keeps each projection sorted.  For a query, a window around its own projection
-widens on every line step by step (virtual rehashing: radius ``base * ratio ** step``); a
-vector inside a window collides.  Vectors that collide on at least ``threshold`` of the
+widens on every line step by step (virtual rehashing: the radius grows by ``ratio``); a
+vector whose place in the sorted projection is inside the window collides.  Vectors that collide on at least ``threshold`` of the
 lines are candidates, and the widening stops when a block has ``verify`` times its size of
 them (and no fewer than ``k``).  Candidates are verified by the exact inner product in
 double precision; each query keeps its ``k`` best of all blocks.
@@ -11,8 +11,9 @@ double precision; each query keeps its ``k`` best of all blocks.
 Inner product becomes distance by one more coordinate, sqrt(M^2 - |x|^2), with M the
 largest length; queries get 0 there.
 
-Queries travel to all blocks in chunks, a stated query set against all rows.  Per query
-and block only ``k`` rows come back.
+Queries travel to all blocks, a stated query set against all rows; more than
+``query_rows`` of them travel in chunks.  Per query and block only ``k`` rows come back.
+Work is queries times rows, at about a byte operation per line.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component take
 no part, nor do those of another length than the longest group (the commonest length, the
@@ -31,44 +32,52 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SCHEMA = "query_id long, vec_id long, score double"
-BLOCK_ROWS = 16_384
-QUERY_ROWS = 512
+BLOCK_ROWS = 8192
+QUERY_ROWS = 65_536
+#: Queries that are counted together.
+BATCH = 32
 
 
 class Index:
-    """Sorted projections of some vectors."""
+    """Sorted projections of some vectors, and each vector's place in every one of them."""
 
     def __init__(self, x: np.ndarray, longest: float, projections: int, seed: int):
+        if len(x) > 32_767 or projections > 255:
+            raise ValueError("places and counts are kept in small integers")
         self.x = x
         extra = np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))
-        lines = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, projections))
-        self.lines = lines
-        place = x @ lines[:-1] + extra[:, None] * lines[-1]
-        self.order = np.argsort(place, axis=0).T.astype(np.int32).copy()
-        self.sorted = np.take_along_axis(place, self.order.T, axis=0).T.copy()
-
-    def candidates(self, q: np.ndarray, need: int, threshold: int, base: float, ratio: float) -> np.ndarray:
-        """Vectors that collide with one query often enough, once at least ``need`` do."""
+        self.lines = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, projections))
+        on_line = (x @ self.lines[:-1] + extra[:, None] * self.lines[-1]).T
+        order = np.argsort(on_line, axis=1)
+        self.sorted = np.take_along_axis(on_line, order, axis=1)
+        self.place = np.empty(order.shape, np.uint16)
+        np.put_along_axis(self.place, order, np.arange(len(x), dtype=np.uint16)[None], axis=1)
+
+    def collisions(self, at: np.ndarray, radius: np.ndarray) -> np.ndarray:
+        """On how many lines each vector lies in the window of each query."""
+        count = np.zeros((len(at), len(self.x)), np.uint8)
+        for line, place, p in zip(self.sorted, self.place, at.T, strict=True):
+            lo = np.searchsorted(line, p - radius).astype(np.uint16)
+            width = np.searchsorted(line, p + radius, side="right").astype(np.uint16) - lo
+            count += (place - lo[:, None]) < width[:, None]  # places below the window wrap around
+        return count
+
+    def candidates(self, q: np.ndarray, need: int, threshold: int, radius: float, ratio: float) -> tuple[list[np.ndarray], float]:
+        """Per query the vectors that collide often enough, once at least ``need`` do; and the smallest radius used."""
         n = len(self.x)
         if need >= n:
-            return np.arange(n)
+            return [np.arange(n)] * len(q), radius
         at = q @ self.lines[:-1]
-        count = np.zeros(n, np.int16)
-        lo = hi = None
-        radius = base
-        while True:
-            new_lo = np.array([np.searchsorted(s, p - radius) for s, p in zip(self.sorted, at, strict=True)])
-            new_hi = np.array([np.searchsorted(s, p + radius, side="right") for s, p in zip(self.sorted, at, strict=True)])
-            if lo is None:
-                lo, hi = new_lo, new_lo
-            for order, a, b, c, d in zip(self.order, new_lo.tolist(), lo.tolist(), hi.tolist(), new_hi.tolist(), strict=True):
-                count[order[a:b]] += 1
-                count[order[c:d]] += 1
-            lo, hi = new_lo, new_hi
-            found = np.flatnonzero(count >= threshold)
-            if len(found) >= need or (hi - lo).min() == n:
-                return found
-            radius *= ratio
+        radii, open_ = np.full(len(q), radius), np.arange(len(q))
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
+        while len(open_):
+            often = self.collisions(at[open_], radii[open_]) >= threshold
+            done = often.sum(1) >= need
+            for k in np.flatnonzero(done):
+                out[open_[k]] = np.flatnonzero(often[k])
+            open_ = open_[~done]
+            radii[open_] *= ratio
+        return out, float(radii.min())
 
 
 def _search(k: int, projections: int, share: float, verify: float, ratio: float, longest: float, seed: int):
@@ -78,23 +87,30 @@ def _search(k: int, projections: int, share: float, verify: float, ratio: float,
             ids = left.column("vec_id").to_numpy()
             order = np.argsort(ids)
             ids = ids[order]
-            x = np.stack(left.column("vector").to_numpy())[order].astype(np.float64)
+            x = left.column("vector").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
+            asked = right.column("query_id").to_numpy()
+            by = np.argsort(asked)
+            queries = right.column("query").combine_chunks().flatten().to_numpy().reshape(len(asked), -1)[by]
+            asked = asked[by]
             index = Index(x, longest, projections, seed)
             threshold = max(1, int(np.ceil(share * projections)))
-            spread = float(index.sorted.std())
             need = max(k + 1, int(np.ceil(verify * len(x))))
-            for query, q in zip(right.column("query_id").to_numpy(), np.stack(right.column("query").to_numpy()).astype(np.float64), strict=True):
-                found = index.candidates(q, need, threshold, spread * 0.4, ratio)
-                found = found[ids[found] != query]
-                score = x[found] @ q
-                if len(found) > k:
-                    part = np.partition(score, len(score) - k)[len(score) - k]
-                    found, score = found[score >= part], score[score >= part]
-                best = np.lexsort((ids[found], -score))[:k]
-                out_q += [query] * len(best)
-                out_v += ids[found][best].tolist()
-                out_s += score[best].tolist()
-        return pa.table([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "vec_id", "score"])
+            radius = float(index.sorted.std()) * 0.4
+            for i in range(0, len(asked), BATCH):
+                some, least = index.candidates(queries[i : i + BATCH], need, threshold, radius, ratio)
+                radius = least / ratio  # where the next batch starts to widen
+                for query, q, found in zip(asked[i : i + BATCH], queries[i : i + BATCH], some, strict=True):
+                    found = found[ids[found] != query]
+                    score = x[found] @ q
+                    if len(found) > k:
+                        top = score >= np.partition(score, len(score) - k)[len(score) - k]
+                        found, score = found[top], score[top]
+                    best = np.lexsort((ids[found], -score))[:k]
+                    out_q.append(np.full(len(best), query))
+                    out_v.append(ids[found][best])
+                    out_s.append(score[best])
+        none = [np.zeros(0)]
+        return pa.table([pa.array(np.concatenate([*out_q, *none]).astype(np.int64)), pa.array(np.concatenate([*out_v, *none]).astype(np.int64)), pa.array(np.concatenate([*out_s, *none]))], names=["query_id", "vec_id", "score"])
 
     return run
 
