@@ -27,9 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 8 << 20
-#: Dictionary entries that one range of hashes holds, counted before blocks merge.
+#: Text in a block, and dictionary entries (counted before blocks merge) in a range of hashes, up to ...
+BLOCK_BYTES = 4 << 20
 RANGE_ENTRIES = 2_000_000
+#: ... this much input.  Beyond, both grow with its square root, or the pieces that blocks
+#: send to ranges would shrink to nothing.
+FULL_BYTES = 128 << 30
 NO_ID = np.uint64(0xFFFFFFFFFFFFFFFF)
 BLOCK_SCHEMA = "block long, n_docs long, n_bytes long, n_words long, ids array<long>, lens array<int>, data binary"
 BLOB_SCHEMA = "bucket int, block long, blob binary"
@@ -99,6 +102,14 @@ def _pack(block_bytes: int):
     return run
 
 
+def growth(df: DataFrame, full: float = FULL_BYTES) -> float:
+    """How much larger blocks and ranges are for this input: the size is Catalyst's estimate, no job runs."""
+    size = float(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+    if size > 1e17:  # unknown: a plan without statistics
+        size = float(df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) / 2
+    return max(1.0, min(64.0, (size / full) ** 0.5))
+
+
 def pack_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of whole documents (``BLOCK_SCHEMA``), written to the checkpoint folder.
 
@@ -269,9 +280,9 @@ def merge(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarra
     return blocks, cut, order, np.flatnonzero(new), run, values
 
 
-def n_ranges(blocks: DataFrame, column: str, factor: float = 1.0) -> int:
+def n_ranges(blocks: DataFrame, column: str, factor: float = 1.0, grown: float = 1.0) -> int:
     total = blocks.agg(F.sum(column)).first()[0] or 0
-    return max(8, int(total * factor / RANGE_ENTRIES) + 1)
+    return max(8, int(total * factor / (RANGE_ENTRIES * grown)) + 1)
 
 
 def over_blocks(blocks: DataFrame, run, schema: str = BLOB_SCHEMA) -> DataFrame:

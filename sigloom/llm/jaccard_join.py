@@ -141,8 +141,9 @@ def _join_parts(percent: int):
 
 
 def _sets_table(docs: DataFrame, n: int, percent: int, block_bytes: int) -> DataFrame:
-    blocks = c.pack_documents(docs, block_bytes)
-    ranges = c.n_ranges(blocks, "n_words")
+    grown = c.growth(docs)
+    blocks = c.pack_documents(docs, int(block_bytes * grown))
+    ranges = c.n_ranges(blocks, "n_words", grown=grown)
 
     def ask(b: c.Block) -> pa.Table:
         _, key = shingle_sets(b.texts, n)
@@ -180,7 +181,7 @@ def _sets_table(docs: DataFrame, n: int, percent: int, block_bytes: int) -> Data
         ends = np.append(0, np.cumsum(counts))
         arrays = pa.ListArray.from_arrays(pa.array([None if not s else x for s, x in zip(sends.tolist(), ends[:-1].tolist(), strict=True)] + [int(ends[-1])], pa.int32()), pa.array(tokens, pa.int64()))
         return pa.table(
-            [pa.array((b.block << 20) + np.arange(m), pa.int64()), pa.array(b.ids, pa.int64()), pa.array(size, pa.int64()), pa.array(np.where(maybe, sig_a.view(np.int64), 0), pa.int64()), pa.array(np.where(maybe, sig_b.view(np.int64), 0), pa.int64()), pa.array(np.where(maybe, prefix, 0), pa.int32()), arrays],
+            [pa.array((b.block << 24) + np.arange(m), pa.int64()), pa.array(b.ids, pa.int64()), pa.array(size, pa.int64()), pa.array(np.where(maybe, sig_a.view(np.int64), 0), pa.int64()), pa.array(np.where(maybe, sig_b.view(np.int64), 0), pa.int64()), pa.array(np.where(maybe, prefix, 0), pa.int32()), arrays],
             names=["row_id", "doc_id", "n_shingles", "sig_a", "sig_b", "n_prefix", "tokens"],
         )
 

@@ -44,8 +44,9 @@ def remove_repeated_windows(docs: DataFrame, window: int = 50, block_bytes: int
     A word goes if a window of ``window`` words that covers it also starts in a document
     with a smaller doc_id.  Windows are judged on the input.
     """
-    blocks = c.pack_documents(docs, block_bytes)
-    n = c.n_ranges(blocks, "n_words")
+    grown = c.growth(docs)
+    blocks = c.pack_documents(docs, int(block_bytes * grown))
+    n = c.n_ranges(blocks, "n_words", grown=grown)
 
     def ask(b: c.Block) -> pa.Table:
         w = c.Words(b.texts)

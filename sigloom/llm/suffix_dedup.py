@@ -146,10 +146,11 @@ def remove_repeated_bytes(docs: DataFrame, min_len: int = 100, hot: int = 50_000
     if min_len < 64:
         raise ValueError("min_len must be at least 64: minimizers are strings of 32 bytes")
     width = min_len - GRAM + 1
-    blocks = c.pack_documents(docs, block_bytes)
-    n_count = c.n_ranges(blocks, "n_bytes", 2.0 / width)
+    grown = c.growth(docs, c.FULL_BYTES / 4)
+    blocks = c.pack_documents(docs, int(block_bytes * grown))
+    n_count = c.n_ranges(blocks, "n_bytes", 2.0 / width, grown)
     total = blocks.agg({"n_bytes": "sum"}).first()[0] or 0
-    n_seg = max(8, int(total // RANGE_BYTES) + 1)
+    n_seg = max(8, int(total / (RANGE_BYTES * grown)) + 1)
 
     def ask(b: c.Block) -> pa.Table:
         r = Runs(b, min_len)
