@@ -14,7 +14,8 @@ unigrams and bigrams with their counts in the block, in target and background, a
 answers with the corpus counts; no count table is broadcast or collected.  Only three
 totals (words of either, vocabulary) come to the driver.
 
-Unigrams and bigrams are told apart by 64-bit hashes.
+N-grams are told apart by the upper 56 bits of their hashes; a collision adds up two
+counts, which the smoothing outweighs.
 
 Defined results: null, empty and wordless texts have 0 words and null scores; repeated
 rows count as often as they occur; target ids that are null or match no document do
@@ -35,32 +36,42 @@ SCHEMA = "doc_id long, n_words long, target_bits double, background_bits double,
 ASK_SCHEMA = "bucket int, block long, blob binary, target_words long"
 
 
+#: Target documents up to which their places in the blocks are broadcast (32 MB); beyond, blocks are shuffled to them.
+BROADCAST_IDS = 8_000_000
+#: Hash bits of an n-gram key; the rest tells unigrams (0) and bigrams (1) apart.
+MASK = ~np.uint64(0xFF)
+
+
 class Grams:
-    """Unigram and bigram hashes of a block's words; histories by word."""
+    """Unigram and bigram keys of a block's words, and which of them a text ends with."""
 
     def __init__(self, texts: list[bytes]):
         self.w = c.Words(texts, fold=c.LOWER)
         at, two = self.w.windows(2)
         self.second = at + 1
-        # the lowest two bits tell the kind: unigram 0, bigram 1, history 2
-        uni = self.w.hash & ~np.uint64(3)
-        self.keys = np.concatenate([uni, (two & ~np.uint64(3)) | np.uint64(1), uni[at] | np.uint64(2)])
-        self.n = len(uni)
-        self.owner = np.concatenate([self.w.doc, self.w.doc[at], self.w.doc[at]])
+        self.n = len(self.w.hash)
+        self.keys = np.concatenate([self.w.hash & MASK, (two & MASK) | np.uint64(1)])
+        self.owner = np.concatenate([self.w.doc, self.w.doc[at]])
+        self.ends = np.zeros(len(self.keys), np.int64)
+        some = self.w.count > 0
+        self.ends[(self.w.first + self.w.count - 1)[some]] = 1
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, blend: float = 0.7, add: float = 0.1, block_bytes: int = c.BLOCK_BYTES // 2) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, blend: float = 0.7, add: float = 0.1, block_bytes: int = 2 * c.BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, target_bits, background_bits (mean per word) and score of every document.
 
     ``target_ids``: one column, the doc_ids whose texts train the target model.  Words are
     lower-cased (A to Z) and parted by white space.
     """
-    blocks = c.pack_documents(docs, block_bytes)
-    n = c.n_ranges(blocks, "n_words", 2.0)
+    grown = c.growth(docs)
+    blocks = c.pack_documents(docs, int(block_bytes * grown))
+    n = c.n_ranges(blocks, "n_words", 1.2, grown)
     n_words = blocks.agg({"n_words": "sum"}).first()[0] or 0
     ids = target_ids.select(target_ids[target_ids.columns[0]].cast("long").alias("t_id")).where("t_id is not null").distinct()
     places = blocks.select(F.col("block").alias("t_block"), F.posexplode("ids").alias("at", "id"))
     targets = places.join(ids, F.col("id") == F.col("t_id")).groupBy("t_block").agg(F.sort_array(F.collect_list("at")).alias("targets"))
+    if ids.count() <= BROADCAST_IDS:  # places of target documents: 4 bytes each
+        targets = F.broadcast(targets)
     marked = blocks.join(targets, F.col("block") == F.col("t_block"), "left").drop("t_block")
 
     def ask(b: pa.RecordBatch) -> pa.Table:
@@ -69,8 +80,10 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, blend: floa
         target = np.zeros(len(block.ids), bool)
         target[b.column("targets").to_pylist()[0] or []] = True
         keys, order, runs, _ = c.distinct(g.keys)
-        mine = target[g.owner][order]
-        counts = [np.diff(np.append(runs, len(order))), np.add.reduceat(mine.astype(np.int64), runs)] if len(keys) else [keys, keys]
+        mine = target[g.owner][order].astype(np.int64)
+        ends = g.ends[order]
+        # occurrences and text ends, in all texts and in target texts
+        counts = [np.add.reduceat(x, runs) for x in (np.ones(len(order), np.int64), mine, ends, ends * mine)] if len(keys) else [keys] * 4
         table = c.rows(list(c.emit(block.block, keys, counts, n)))
         words = np.zeros(table.num_rows, np.int64)
         words[:1] = int(target[g.w.doc].sum())
@@ -86,7 +99,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, blend: floa
         total = [np.add.reduceat(v[order], runs) for v in values]
         offset = c.range_starts(n)[table.column("bucket")[0].as_py()]
         keys = np.concatenate([np.cumsum(c.decode(x)[0]) for x in table.column("blob").to_pylist()])[order][runs] + offset
-        vocabulary = int(((keys & np.uint64(3)) == 0).sum())
+        vocabulary = int(((keys & ~MASK) == 0).sum())
         bucket = table.column("bucket")[0].as_py()
         found = c.rows([(bucket, names[i], c.encode(*(t[run[cut[i] : cut[i + 1]]] for t in total))) for i in range(len(names))])
         target_words = np.zeros(found.num_rows, np.int64)
@@ -106,10 +119,11 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, blend: floa
         bits = []
         if g.n:
             index = c.distinct(g.keys)[3]
-            for k, total in ((1, n_target), (0, None)):
-                count = c.answers_in_order(got, k).astype(np.float64)[index]
-                uni, two, history = count[: g.n], count[g.n : g.n + len(g.second)], count[g.n + len(g.second) :]
-                p = (uni + add) / ((n_words if total is None else total) + add * vocabulary)
+            for k, total in ((1, n_target), (0, n_words)):
+                count, ends = (c.answers_in_order(got, j).astype(np.float64)[index] for j in (k, k + 2))
+                uni, two = count[: g.n], count[g.n :]
+                history = (uni - ends[: g.n])[g.second - 1]  # times the word before has a successor
+                p = (uni + add) / (total + add * vocabulary)
                 seen = history > 0
                 at = g.second[seen]
                 p[at] = blend * two[seen] / history[seen] + (1 - blend) * p[at]
