@@ -103,9 +103,13 @@ def fit(docs: DataFrame, trainable, clusters: int = 3, sample_rows: int = SAMPLE
     known = rows.select("lang").distinct().limit(max_languages + 1).count()
     if known > max_languages:
         raise ValueError(f"more than {max_languages} languages")
-    # the smallest hashes per language: Spark keeps that many per task before it shuffles ids
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = rows.select("doc_id", "lang").distinct().withColumn("place", place).where(F.col("place") <= sample_rows).select("doc_id", F.col("lang").alias("l"))
+    # the smallest hashes per language: only ids are shuffled
+    # first per slice of the hash, so that no task sorts a whole language
+    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct().withColumn("slice", F.pmod("h", F.lit(64)))
+    for keys in (["lang", "slice"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))
+        ids = ids.withColumn("place", place).where(F.col("place") <= sample_rows).drop("place")
+    ids = ids.select("doc_id", F.col("lang").alias("l"))
     chosen = rows.join(F.broadcast(ids), "doc_id").where("lang = l").select("lang", "text", "doc_id").dropDuplicates(["lang", "doc_id"])
     sample = sorted((r.lang, r.doc_id, r.text) for r in chosen.collect() if r.text and has_letter(r.text))
     languages = sorted({x[0] for x in sample}, key=lambda x: x.encode())
