@@ -15,6 +15,8 @@ documents is one entry per block, so no key is hot.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import struct
 import tempfile
 import uuid
@@ -120,10 +122,24 @@ def pack_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     return materialise(src.mapInArrow(_pack(block_bytes), BLOCK_SCHEMA))
 
 
+@functools.cache
+def lean() -> None:
+    """Large arrays of this worker go back to the system when they are freed.
+
+    glibc otherwise raises its threshold with every large array that is freed and then
+    keeps arrays of up to 32 MB on a heap that doesn't shrink; Arrow's pool keeps its own.
+    """
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 class Block:
     """The documents of one packed row: ids (None where null), rank (ids in order, as unsigned), texts."""
 
     def __init__(self, table: pa.Table | pa.RecordBatch):
+        lean()
         row = table.slice(0, 1).to_pydict()
         self.block = row["block"][0]
         self.ids = row["ids"][0]
@@ -266,6 +282,7 @@ def emit(block: int, keys: np.ndarray, values: list[np.ndarray], n: int) -> Iter
 
 def merge(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """One range's blobs: block of each, its cut points, order by key, start of each key's run, run of each entry, values."""
+    lean()
     blocks, blobs = table.column("block").to_pylist(), table.column("blob").to_pylist()
     parts = [decode(x) for x in blobs]
     cut = np.cumsum([0, *(len(p[0]) for p in parts)])
