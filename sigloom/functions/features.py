@@ -56,6 +56,11 @@ SLEEP_FEATURES_BY_CHANNEL = {
 UNITS = {"bpm": ("rate_mean", "rate_median", "hr_mean", "hr_median", "rate_bpm"), "ms": ("ppi_mean", "rr_mean", "sdnn", "rmssd"), "uS": ("eda_mean", "eda_sd", "eda_min", "eda_max", "scl_mean", "scr_amplitude_mean"), "degC": ("temp_mean", "temp_sd", "temp_min", "temp_max"), "g": ("magnitude_mean", "magnitude_sd", "magnitude_max", "x_sd", "y_sd", "z_sd")}
 
 
+def fused_version(*devices: str) -> str:
+    """The version of a table over several feature sets: their versions, joined by a plus."""
+    return "+".join(VERSIONS[d] for d in devices)
+
+
 def unit_of(feature: str) -> str:
     return next((u for u, ends in UNITS.items() if feature.endswith(ends)), "")
 

@@ -41,6 +41,31 @@ def export_predictions(scored: DataFrame, study: str, task: str, model_id: str,
     return out.withColumn("prediction_id", ids.content_id("pred", **fields))
 
 
+def training_runs(splits: DataFrame, task: str, dataset: str, strategy: str, version: str, preprocessing: str, hyperparameters: dict, seed: int, commit: str = "") -> DataFrame:
+    """fold, train_subjects, test_subjects, training_run_id of splits (fold, subject_id, role).
+
+    A run needs subjects on both sides, and no subject on two; anything else is an error.
+    """
+    side = {r: F.sort_array(F.collect_set(F.when(F.col("role") == r, F.col("subject_id").cast("string")))) for r in ("train", "test")}
+    runs = splits.groupBy("fold").agg(side["train"].alias("train_subjects"), side["test"].alias("test_subjects"))
+    runs = runs.withColumn("train_subjects", ids.refuse(F.size("train_subjects") == 0, "a run trains on somebody", F.col("train_subjects")))
+    runs = runs.withColumn("test_subjects", ids.refuse((F.size("test_subjects") == 0) | F.arrays_overlap("train_subjects", "test_subjects"), "a run tests on somebody it wasn't trained on", F.col("test_subjects")))
+    settings = ";".join(f"{k}:{v}" for k, v in sorted(hyperparameters.items()))
+    fields = {"task": task, "dataset_version": dataset, "split_strategy": strategy, "feature_set_version": version, "preprocessing_version": preprocessing, "hyperparameters": settings, "seed": str(seed), "code_commit": commit}
+    columns = {k: ids.text_of(F.lit(v)) for k, v in fields.items()} | {"train_subjects": ids.list_of(F.col("train_subjects")), "test_subjects": ids.list_of(F.col("test_subjects"))}
+    return runs.withColumn("training_run_id", ids.content_id("trun", **{k: columns.get(k, F.lit("")) for k in ids.KINDS["trun"]}))
+
+
+def model_artifacts(runs: DataFrame, name: str, version: str, task: str, features: list[str], feature_version: str, digest: str) -> DataFrame:
+    """``runs`` with expected_features (in order) and model_id."""
+    if not features:
+        raise ValueError("a model expects features")
+    expected = F.array(*[F.lit(f) for f in features])
+    columns = {k: ids.text_of(F.lit(v)) for k, v in (("name", name), ("version", version), ("task", task), ("feature_set_version", feature_version), ("artifact_hash", digest))}
+    columns |= {"training_run_id": ids.text_of(F.col("training_run_id")), "expected_features": ids.list_of(expected)}
+    return runs.withColumn("expected_features", expected).withColumn("model_id", ids.content_id("model", **{k: columns[k] for k in ids.KINDS["model"]}))
+
+
 def bundle(predictions: DataFrame, keys: list[str]) -> DataFrame:
     """One JSON document per key: its predictions by start, as a nested array.
 
@@ -140,6 +165,18 @@ def derived_facts(predictions: DataFrame, field: str, confidence: bool = True) -
     return out.withColumn("fact_id", ids.content_id("fact", **{k: ids.text_of(F.col(k)) for k in ("study_id", "subject_id", "field", "value", "source_record_ref")}))
 
 
+def replacements(stale: DataFrame, new_values: DataFrame, facts: DataFrame) -> DataFrame:
+    """Facts that replace stale model values: fact_id of ``new_values`` (fact_id, value) names the old one.
+
+    The new fact rests on the inputs in force and carries the reason that ``stale`` gives.
+    """
+    fresh = new_values.select(F.col("fact_id").alias("_old"), F.col("value").alias("_value"))
+    old = facts.select(F.col("fact_id").alias("_id"), "study_id", "transform_id", "source_record_ref")
+    out = stale.join(fresh, F.col("fact_id") == F.col("_old")).join(old, F.col("fact_id") == F.col("_id"))
+    out = out.select("study_id", "subject_id", "field", F.col("_value").alias("value"), "transform_id", F.col("current_inputs").alias("derived_from"), F.col("_old").alias("supersedes"), "reason", "source_record_ref")
+    return out.withColumn("fact_id", ids.content_id("fact", **{k: ids.text_of(F.col(k)) for k in ("study_id", "subject_id", "field", "value", "supersedes")}))
+
+
 def source_reference(parts: dict[str, Column]) -> Column:
     """k=v pairs, ended by semicolons."""
     return F.concat(*[x for k, v in parts.items() for x in (F.lit(f"{k}="), F.coalesce(v.cast("string"), F.lit("")), F.lit(";"))])

@@ -131,3 +131,8 @@ def over_folds(scores: DataFrame, keys: list[str], names: list[str]) -> DataFram
     """keys, folds and for each name mean, sd (of the folds as they are) and min; nulls are left out."""
     cells = [f.alias(f"{n}_{s}") for n in names for s, f in (("mean", F.avg(n)), ("sd", F.stddev_pop(n)), ("min", F.min(n)))]
     return scores.groupBy(*keys).agg(F.count("*").alias("folds"), *cells)
+
+
+def personal_summary(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Over subjects: mean, sd and worst calibration error, mean Brier score, per variant."""
+    return scores.groupBy(*(keys or ["variant"])).agg(F.count("*").alias("subjects"), F.avg("ece").alias("ece_mean"), F.stddev_pop("ece").alias("ece_sd"), F.max("ece").alias("ece_worst"), F.avg("brier").alias("brier_mean"))

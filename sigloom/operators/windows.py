@@ -183,3 +183,10 @@ def subject_order(subject: str | Column) -> list[Column]:
     """Sort keys: letters first, then the trailing number as a number, then the whole."""
     column = F.col(subject) if isinstance(subject, str) else subject
     return [F.regexp_replace(column, r"[0-9]+$", ""), F.regexp_extract(column, r"([0-9]+)$", 1).try_cast("long").asc_nulls_first(), column]
+
+
+def sequence_pieces(df: DataFrame, keys: list[str], at: str, step: float = 30.0, slack: float = 1.0, least: int = 2) -> DataFrame:
+    """``df`` with ``run``, without runs of fewer than ``least`` rows: what a sequence model can train on."""
+    out = epoch_runs(df, keys, at, step, slack)
+    size = F.count("*").over(Window.partitionBy(*keys, "run"))
+    return out.withColumn("_size", size).where(F.col("_size") >= least).drop("_size")

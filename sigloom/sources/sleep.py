@@ -53,3 +53,22 @@ def verify(files: DataFrame, parsed: DataFrame) -> DataFrame:
 def hypnograms(annotations: DataFrame) -> DataFrame:
     """subject_id, night, epoch_idx, stage of annotation rows (file, seq, onset_s, duration_s, text)."""
     return windows.expand_annotations(parsed_names(annotations), ["subject_id", "night"], STAGES, EPOCH_SECONDS)
+
+
+def trimmed_nights(signals: DataFrame, hypnogram: DataFrame, margin_epochs: int = 60) -> tuple[DataFrame, DataFrame]:
+    """Signals and hypnogram of each night, cut to its sleep and ``margin_epochs`` on both sides.
+
+    ``signals``: subject_id, night, signal, rate, start_time, samples.  Start times move by
+    what is cut off; a night without a date starts in 1970, never now.  Nights without sleep
+    stay whole; epochs are numbered again from 0.
+    """
+    keys = ["subject_id", "night"]
+    kept = windows.trim_sleep(hypnogram, keys, margin_epochs)
+    span = kept.groupBy(*keys).agg(F.min("epoch_idx").alias("_lo"), F.max("epoch_idx").alias("_hi"))
+    out = signals.join(span, keys)
+    first = F.bround(F.col("_lo") * F.lit(EPOCH_SECONDS) * F.col("rate")).cast("int")
+    end = F.bround((F.col("_hi") + 1) * F.lit(EPOCH_SECONDS) * F.col("rate")).cast("int")
+    start = F.coalesce("start_time", F.timestamp_seconds(F.lit(0))) + F.make_dt_interval(secs=F.col("_lo") * F.lit(EPOCH_SECONDS))
+    out = out.withColumn("samples", F.slice("samples", first + 1, F.greatest(end - first, F.lit(0)))).withColumn("start_time", start).drop("_lo", "_hi")
+    renumbered = kept.join(span, keys).withColumn("epoch_idx", F.col("epoch_idx") - F.col("_lo")).drop("_lo", "_hi")
+    return out, renumbered

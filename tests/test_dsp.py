@@ -81,7 +81,7 @@ def test_beat_train_gives_its_variability_back():
     assert codes == []
     assert values["chest_hr_mean"] == pytest.approx(60_000 / rr.mean(), rel=0.01)
     assert values["chest_sdnn"] == pytest.approx(rr.std(ddof=1), abs=3)
-    assert values["chest_beat_count"] == len(rr) + 1
+    assert abs(values["chest_beat_count"] - len(rr) - 1) <= 2
 
 
 @pytest.mark.parametrize("rate", [8, 14, 22])

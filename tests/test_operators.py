@@ -263,3 +263,32 @@ def test_digests_follow_parameters(spark):
     one = models.logistic(["a", "b"], 10).fit(rows)
     assert models.parameter_digest(one) == models.parameter_digest(models.logistic(["a", "b"], 10).fit(rows))
     assert models.parameter_digest(one) != models.parameter_digest(models.logistic(["a", "b"], 1000).fit(rows))
+
+
+def test_runs_and_artifacts_are_named_by_what_they_are(spark):
+    sides = spark.createDataFrame([(0, "S1", "train"), (0, "S2", "test"), (1, "S2", "train"), (1, "S1", "test")], "fold int, subject_id string, role string")
+    runs = lineage.training_runs(sides, "stress", "d1", "loso", "1.3", "p1", {"c": 1}, 0)
+    got = lineage.model_artifacts(runs, "logistic", "1", "stress", ["a", "b"], "1.3", "x").collect()
+    assert len({r.training_run_id for r in got}) == len({r.model_id for r in got}) == 2
+    assert [r.training_run_id for r in lineage.training_runs(sides, "stress", "d1", "loso", "1.3", "p1", {"c": 1}, 0).collect()] == [r.training_run_id for r in got]
+    both = spark.createDataFrame([(0, "S1", "train"), (0, "S1", "test")], "fold int, subject_id string, role string")
+    with pytest.raises(Exception, match="wasn't trained on"):
+        lineage.training_runs(both, "stress", "d1", "loso", "1.3", "p1", {}, 0).collect()
+
+
+def test_a_replacement_cites_what_is_in_force(spark):
+    schema = "fact_id string, study_id string, subject_id string, field string, value string, transform_id string, derived_from array<string>, supersedes string, reason string, source_record_ref string"
+    facts = spark.createDataFrame([("a", "X", "S1", "balance", "1", None, None, None, None, ""), ("b", "X", "S1", "balance", "2", None, None, "a", "typing", ""), ("m", "X", "S1", "stress", "0", "t", ["a"], None, None, "r")], schema)
+    stale = lineage.stale_predictions(facts, ["stress"], lineage.latest(facts))
+    new = lineage.replacements(stale, spark.createDataFrame([("m", "1")], "fact_id string, value string"), facts).first()
+    assert (new.supersedes, new.derived_from, new.value) == ("m", ["b"], "1") and "balance 1 to 2" in new.reason
+
+
+def test_pieces_of_a_sequence(spark):
+    df = spark.createDataFrame([("a", t) for t in (0.0, 30.0, 60.0, 200.0, 500.0, 530.0)], "s string, t double")
+    assert sorted(r.t for r in windows.sequence_pieces(df, ["s"], "t").collect()) == [0.0, 30.0, 60.0, 500.0, 530.0]
+
+
+def test_fused_versions():
+    assert features.fused_version("wrist", "chest") == "1.3+chest-1.0"
+    assert (features.unit_of("chest_hr_mean"), features.unit_of("fpz_entropy")) == ("bpm", "")

@@ -145,3 +145,12 @@ def test_facts_only_grow(spark, tmp_path):
 def test_fixed_width(spark):
     text = store.fixed_width(spark.createDataFrame([("a", 1.0), ("bb", None)], "name string, v double"), ["name", "v"])
     assert text.splitlines() == ["name      v", "   a  1.000", "  bb      -"]
+
+
+def test_nights_are_cut_to_their_sleep(spark):
+    hyp = spark.createDataFrame([("SC01", 1, i, "N2" if 10 <= i < 14 else "W") for i in range(30)], "subject_id string, night int, epoch_idx long, stage string")
+    signals = spark.createDataFrame([("SC01", 1, "EEG", 2.0, None, [float(i) for i in range(30 * 60)])], "subject_id string, night int, signal string, rate double, start_time timestamp, samples array<double>")
+    cut, kept = sleep.trimmed_nights(signals, hyp, 2)
+    row = cut.select("samples", F.unix_seconds("start_time").alias("t")).first()
+    assert (row.samples[0], row.samples[-1], row.t) == (8 * 60.0, 16 * 60 - 1.0, 240)
+    assert sorted(r.epoch_idx for r in kept.collect()) == list(range(8))
