@@ -12,6 +12,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def doubles(x: Column) -> Column:
     """``x`` as array<double>; NaN and infinities stay for the quality rules to see."""
     return x.cast("array<double>")
@@ -103,10 +108,10 @@ def moving_average(x: Column, width: int) -> Column:
     Arrays shorter than ``width`` give their mean everywhere.
     """
     before, after = width // 2, width - 1 - width // 2
-    n = F.size(x)
     padded = F.concat(F.array_repeat(first(x), before), x, F.array_repeat(last(x), after))
-    inside = F.transform(F.sequence(F.lit(1), n), lambda i: total(F.slice(padded, i, F.lit(width))) / width)
-    return F.when(n < width, F.transform(x, lambda _: mean(x))).otherwise(inside)
+    inside = let(padded, lambda p: F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: total(F.slice(p, i, F.lit(width))) / width))
+    flat = let(mean(x), lambda m: F.transform(x, lambda _: m))
+    return F.when(F.size(x) < width, flat).otherwise(inside)
 
 
 def hjorth(x: Column) -> Column:
@@ -122,7 +127,7 @@ def hjorth(x: Column) -> Column:
         return F.struct(v0.alias("activity"), mobility.alias("mobility"), complexity.alias("complexity"))
 
     none = F.struct(F.lit(0.0).alias("activity"), F.lit(0.0).alias("mobility"), F.lit(0.0).alias("complexity"))
-    return F.when(F.size(x) >= 3, F.element_at(F.transform(F.array(v), shape), 1)).otherwise(none)
+    return F.when(F.size(x) >= 3, let(v, shape)).otherwise(none)
 
 
 def power_spectrum(x: Column, n: int) -> Column:

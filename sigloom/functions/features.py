@@ -74,66 +74,75 @@ def signal_of(feature: str, table: dict[str, tuple[str, ...]] | None = None) ->
 
 
 # ---------------------------------------------------------------- as columns
+# Each gives one struct: select it first and its fields after, and it is computed once.
 
 
-def eda_columns(x: Column, rate: float) -> dict[str, Column]:
+def spread(df: DataFrame, keep: list, struct: Column) -> DataFrame:
+    """``keep`` and the fields of ``struct`` as columns."""
+    rows = df.select(*keep, struct.alias("_measured"))
+    return rows.select(*[c for c in rows.columns if c != "_measured"], "_measured.*")
+
+
+def eda_columns(x: Column, rate: float) -> Column:
     """Nine features of at least four samples of skin conductance; null below."""
     width = max(int(rate * TONIC_SECONDS), 1)
-    tonic = a.moving_average(x, width)
-    phasic = F.zip_with(x, tonic, lambda v, t: v - t)
-    high = F.filter(phasic, lambda v: v > SCR_LEVEL)
-    minutes = F.size(x) / F.lit(rate * 60.0)
-    found = {
-        "eda_mean": a.mean(x),
-        "eda_sd": a.sd(x),
-        "eda_min": F.array_min(x),
-        "eda_max": F.array_max(x),
-        "eda_slope_per_min": a.slope_per_minute(x, rate),
-        "scl_mean": a.mean(tonic),
-        "scr_count_per_min": a.rising_crossings(phasic, SCR_LEVEL) / minutes,
-        "scr_amplitude_mean": F.when(F.size(high) > 0, a.mean(high)).otherwise(0.0),
-        "eda_auc": a.trapezium(x, rate),
-    }
-    return {k: F.when(F.size(x) >= 4, v) for k, v in found.items()}
-
-
-def temp_columns(x: Column, rate: float) -> dict[str, Column]:
+
+    def measured(tonic: Column, phasic: Column) -> Column:
+        high = F.filter(phasic, lambda v: v > SCR_LEVEL)
+        minutes = F.size(x) / F.lit(rate * 60.0)
+        found = {
+            "eda_mean": a.mean(x),
+            "eda_sd": a.sd(x),
+            "eda_min": F.array_min(x),
+            "eda_max": F.array_max(x),
+            "eda_slope_per_min": a.slope_per_minute(x, rate),
+            "scl_mean": a.mean(tonic),
+            "scr_count_per_min": a.rising_crossings(phasic, SCR_LEVEL) / minutes,
+            "scr_amplitude_mean": a.let(high, lambda h: F.when(F.size(h) > 0, a.mean(h)).otherwise(0.0)),
+            "eda_auc": a.trapezium(x, rate),
+        }
+        return F.struct(*[v.alias(k) for k, v in found.items()])
+
+    split = a.let(a.moving_average(x, width), lambda t: a.let(F.zip_with(x, t, lambda v, m: v - m), lambda p: measured(t, p)))
+    return F.when(F.size(x) >= 4, split)
+
+
+def temp_columns(x: Column, rate: float) -> Column:
     found = {"temp_mean": a.mean(x), "temp_sd": a.sd(x), "temp_min": F.array_min(x), "temp_max": F.array_max(x), "temp_slope_per_min": a.slope_per_minute(x, rate)}
-    return {k: F.when(F.size(x) >= 2, v) for k, v in found.items()}
-
-
-def acc_columns(x: Column, y: Column, z: Column, rate: float, scale: float) -> dict[str, Column]:
-    m = quality.magnitude(x, y, z, scale)
-    centre = a.mean(m)
-    # the mean is an element of an array, so that it is computed once and not per sample
-    activity = F.element_at(F.transform(F.array(centre), lambda c: a.total(F.transform(m, lambda v: F.abs(v - c)))), 1)
-    found = {
-        "acc_magnitude_mean": centre,
-        "acc_magnitude_sd": a.sd(m),
-        "acc_magnitude_max": F.array_max(m),
-        "acc_jerk_mean": a.mean(F.transform(a.diff(m), lambda v: F.abs(v * rate))),
-        "acc_activity_count": activity,
-        "acc_x_sd": a.sd(x) / scale,
-        "acc_y_sd": a.sd(y) / scale,
-        "acc_z_sd": a.sd(z) / scale,
-    }
-    return {k: F.when(F.size(m) >= 2, v) for k, v in found.items()}
+    return F.when(F.size(x) >= 2, F.struct(*[v.alias(k) for k, v in found.items()]))
+
+
+def acc_columns(x: Column, y: Column, z: Column, rate: float, scale: float) -> Column:
+    def measured(m: Column, centre: Column) -> Column:
+        found = {
+            "acc_magnitude_mean": centre,
+            "acc_magnitude_sd": a.sd(m),
+            "acc_magnitude_max": F.array_max(m),
+            "acc_jerk_mean": a.mean(F.transform(a.diff(m), lambda v: F.abs(v * rate))),
+            "acc_activity_count": a.total(F.transform(m, lambda v: F.abs(v - centre))),
+            "acc_x_sd": a.sd(x) / scale,
+            "acc_y_sd": a.sd(y) / scale,
+            "acc_z_sd": a.sd(z) / scale,
+        }
+        return F.when(F.size(m) >= 2, F.struct(*[v.alias(k) for k, v in found.items()]))
+
+    return a.let(quality.magnitude(x, y, z, scale), lambda m: a.let(a.mean(m), lambda c: measured(m, c)))
 
 
 def centred(x: Column) -> Column:
-    return F.element_at(F.transform(F.array(a.mean(x)), lambda c: F.transform(x, lambda v: v - c)), 1)
+    return a.let(a.mean(x), lambda c: F.transform(x, lambda v: v - c))
 
 
-def emg_columns(x: Column, prefix: str = "chest_emg") -> dict[str, Column]:
+def emg_columns(x: Column, prefix: str = "chest_emg") -> Column:
     """Amplitude of muscle activity about its mean: rms, mean and 95th percentile of the absolute value, range."""
-    c = centred(x)
-    size = F.transform(c, F.abs)
-    rms = F.sqrt(a.mean(F.transform(c, lambda v: v * v)))
-    if prefix == "chest_emg":
-        found, least = {"rms": rms, "mav": a.mean(size), "p95": a.percentile(size, 0.95)}, 16
-    else:
-        found, least = {"rms": rms, "p95": a.percentile(size, 0.95), "range": F.array_max(c) - F.array_min(c)}, 4
-    return {f"{prefix}_{k}": F.when(F.size(x) >= least, v) for k, v in found.items()}
+    names, least = (("rms", "mav", "p95"), 16) if prefix == "chest_emg" else (("rms", "p95", "range"), 4)
+
+    def measured(c: Column, size: Column) -> Column:
+        found = {"rms": F.sqrt(a.mean(F.transform(c, lambda v: v * v))), "mav": a.mean(size), "p95": a.percentile(size, 0.95), "range": F.array_max(c) - F.array_min(c)}
+        return F.struct(*[found[n].alias(f"{prefix}_{n}") for n in names])
+
+    split = a.let(centred(x), lambda c: a.let(F.transform(c, F.abs), lambda s: measured(c, s)))
+    return F.when(F.size(x) >= least, split)
 
 
 # ---------------------------------------------------------------- on matrices

@@ -143,8 +143,9 @@ def streaming_sessions(spark, sf_dir):
 def fused_devices(spark, sf_dir):
     """Long features of two devices as one coverage-checked table."""
     rows = vectors(spark, sf_dir).select((F.col("vec_id") % 20).alias("subject_id"), F.row_number().over(Window.partitionBy(F.col("vec_id") % 20).orderBy("vec_id")).alias("start_s"), "x")
-    wrist = rows.select("subject_id", "start_s", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("value")) for k, v in features.temp_columns(F.col("x"), 4.0).items()])).alias("f"))
-    chest = rows.where("start_s % 7 <> 0").select("subject_id", "start_s", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.alias("value")) for k, v in features.emg_columns(F.col("x")).items()])).alias("f"))
-    long = wrist.union(chest).select("subject_id", "start_s", "f.*")
+    keys = ["subject_id", "start_s"]
+    wrist = features.spread(rows, keys, features.temp_columns(F.col("x"), 4.0))
+    chest = features.spread(rows.where("start_s % 7 <> 0"), keys, features.emg_columns(F.col("x")))
+    long = table.unpivot(wrist, keys, wrist.columns[2:]).union(table.unpivot(chest, keys, chest.columns[2:]))
     wide, names, _ = table.assemble(long, ["subject_id", "start_s"], 0.8)
     return wide.select("subject_id", "start_s", *[r6(n).alias(n) for n in names])

@@ -15,7 +15,7 @@ from ..functions import features, quality
 from ..operators import table, windows
 
 KEYS = ["subject_id", "device", "start_s"]
-LONG = "subject_id string, device string, start_s double, label string, signal string, status string, codes array<string>, name string, value double"
+NAMES = features.FEATURES_BY_SIGNAL
 
 
 def _labelled(signals: DataFrame, runs: DataFrame, length: float, stride: float) -> DataFrame:
@@ -34,11 +34,11 @@ def _labelled(signals: DataFrame, runs: DataFrame, length: float, stride: float)
     return cut.select("subject_id", "device", F.col("w.start_s").alias("start_s"), F.col("w.label").alias("label"), "signal", "rate", F.slice("samples", (F.col("first") + 1).cast("int"), (F.col("end") - F.col("first")).cast("int")).alias("samples"))
 
 
-def _long(df: DataFrame, codes: Column, policy: quality.Policy, values: dict[str, Column], signal: str, prefix: str = "") -> DataFrame:
-    """One row per feature, with its signal's verdict; a rejected signal gives codes and no features."""
-    judged = df.withColumn("codes", codes)
+def _long(df: DataFrame, codes: Column, policy: quality.Policy, values: Column, names: tuple[str, ...], signal: str, prefix: str = "") -> DataFrame:
+    """One row per feature (a field of ``values``), with its signal's verdict; a rejected signal gives codes and no features."""
+    judged = df.select(*KEYS, "label", codes.alias("codes"), values.alias("_v"))
     judged = judged.withColumn("status", quality.status(F.col("codes"), policy))
-    pairs = F.array(*[F.struct(F.lit(prefix + k).alias("name"), v.alias("value")) for k, v in values.items()])
+    pairs = F.array(*[F.struct(F.lit(prefix + n).alias("name"), F.col(f"_v.{n}").alias("value")) for n in names])
     measured = F.when(F.col("status") != "rejected", F.filter(pairs, lambda p: p["value"].isNotNull() & ~F.isnan(p["value"])))
     out = judged.select(*KEYS, "label", F.lit(signal).alias("signal"), "status", "codes", F.explode_outer(measured).alias("f"))
     return out.select(*KEYS, "label", "signal", "status", "codes", F.col("f.name").alias("name"), F.col("f.value").alias("value"))
@@ -56,9 +56,9 @@ def wrist_features(cut: DataFrame, rates: dict[str, float], policy: quality.Poli
     xyz = (F.col("x"), F.col("y"), F.col("z"))
     moved = acc.select(*KEYS, quality.in_motion(*xyz, policy).alias("moved"))
     parts = [
-        _long(cut.where("signal = 'EDA'"), quality.eda_codes(x, policy), policy, features.eda_columns(x, rates["EDA"]), "EDA"),
-        _long(cut.where("signal = 'TEMP'"), quality.temp_codes(x, rates["TEMP"], policy), policy, features.temp_columns(x, rates["TEMP"]), "TEMP"),
-        _long(acc, quality.acc_codes(*xyz, policy), policy, features.acc_columns(*xyz, rates["ACC"], policy["g_scale"]), "ACC"),
+        _long(cut.where("signal = 'EDA'"), quality.eda_codes(x, policy), policy, features.eda_columns(x, rates["EDA"]), NAMES["EDA"], "EDA"),
+        _long(cut.where("signal = 'TEMP'"), quality.temp_codes(x, rates["TEMP"], policy), policy, features.temp_columns(x, rates["TEMP"]), NAMES["TEMP"], "TEMP"),
+        _long(acc, quality.acc_codes(*xyz, policy), policy, features.acc_columns(*xyz, rates["ACC"], policy["g_scale"]), NAMES["ACC"], "ACC"),
     ]
     pulse = features.measure(cut.where("signal = 'BVP'"), {"BVP": policy}).join(moved, KEYS, "left")
     pulse = pulse.withColumn("codes", quality.with_motion(F.col("codes"), F.col("moved")))
@@ -79,10 +79,10 @@ def chest_features(cut: DataFrame, rate: float = 700.0, policy: quality.Policy =
     xyz = (F.col("x"), F.col("y"), F.col("z"))
     parts = [
         _kernel_long(features.measure(cut.where("signal in ('ECG', 'Resp')"), {"ECG": policy, "Resp": policy}), policy),
-        _long(cut.where("signal = 'EDA'"), quality.eda_codes(x, policy), policy, features.eda_columns(x, rate), "EDA", "chest_"),
-        _long(cut.where("signal = 'Temp'"), quality.temp_codes(x, rate, policy), policy, features.temp_columns(x, rate), "Temp", "chest_"),
-        _long(cut.where("signal = 'EMG'"), quality.emg_codes(x), policy, features.emg_columns(x), "EMG"),
-        _long(acc, quality.acc_codes(*xyz, policy), policy, features.acc_columns(*xyz, rate, policy["g_scale"]), "ACC", "chest_"),
+        _long(cut.where("signal = 'EDA'"), quality.eda_codes(x, policy), policy, features.eda_columns(x, rate), NAMES["EDA"], "EDA", "chest_"),
+        _long(cut.where("signal = 'Temp'"), quality.temp_codes(x, rate, policy), policy, features.temp_columns(x, rate), NAMES["TEMP"], "Temp", "chest_"),
+        _long(cut.where("signal = 'EMG'"), quality.emg_codes(x), policy, features.emg_columns(x), features.CHEST_FEATURES_BY_SIGNAL["EMG"], "EMG"),
+        _long(acc, quality.acc_codes(*xyz, policy), policy, features.acc_columns(*xyz, rate, policy["g_scale"]), NAMES["ACC"], "ACC", "chest_"),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -96,7 +96,7 @@ def sleep_features(epochs: DataFrame, policy: quality.Policy = quality.SLEEP, ra
     spectral = features.measure(epochs.where("signal <> 'EMG submental'"), dict.fromkeys(features.KERNEL_SIGNALS, policy))
     chin = epochs.where("signal = 'EMG submental'")
     codes = F.when(F.size(x) < 4, F.array(F.lit("too_short"))).when(quality.a.missing(x), F.array(F.lit("missing"))).otherwise(quality.flat_codes(x, 0.0, policy["flat_sd"] / 10))
-    return _kernel_long(spectral, policy).unionByName(_long(chin, codes, policy, features.emg_columns(x, "chin_emg"), "EMG submental"))
+    return _kernel_long(spectral, policy).unionByName(_long(chin, codes, policy, features.emg_columns(x, "chin_emg"), features.SLEEP_FEATURES_BY_CHANNEL["EMG submental"], "EMG submental"))
 
 
 def build(signals: DataFrame, runs: DataFrame, device: str, length: float = 60.0, stride: float = 5.0, policies: dict[str, quality.Policy] | None = None) -> DataFrame:

@@ -172,14 +172,14 @@ SELECT vec_id, round(avg(v), 6) AS eda_mean, round(stddev_pop(v), 6) AS eda_sd,
   round(avg(tonic), 6) AS scl_mean, round(count(*) FILTER (WHERE q > 0.01 AND before <= 0.01) / (16.0 / 60), 6) AS scr_count_per_min, round(coalesce(avg(q) FILTER (WHERE q > 0.01), 0), 6) AS scr_amplitude_mean,
   round((sum(v) - (arg_max(v, i) + arg_min(v, i)) / 2) / 4, 6) AS eda_auc FROM ph GROUP BY vec_id""")
 def eda_features(spark, sf_dir):
-    found = features.eda_columns(F.col("x"), 4.0)
-    return vectors(spark, sf_dir).select("vec_id", *[r6(v).alias(k) for k, v in found.items()])
+    found = features.spread(vectors(spark, sf_dir), ["vec_id"], features.eda_columns(F.col("x"), 4.0))
+    return rounded(found, *found.columns[1:])
 
 
 @query(f"""WITH {SAMPLES} SELECT vec_id, round(avg(v), 6) AS temp_mean, round(stddev_pop(v), 6) AS temp_sd, round(min(v), 6) AS temp_min, round(max(v), 6) AS temp_max, round((arg_max(v, i) - arg_min(v, i)) / (16.0 / 60), 6) AS temp_slope_per_min FROM s GROUP BY vec_id""")
 def temp_features(spark, sf_dir):
-    found = features.temp_columns(F.col("x"), 4.0)
-    return vectors(spark, sf_dir).select("vec_id", *[r6(v).alias(k) for k, v in found.items()])
+    found = features.spread(vectors(spark, sf_dir), ["vec_id"], features.temp_columns(F.col("x"), 4.0))
+    return rounded(found, *found.columns[1:])
 
 
 ACC = f"""{VEC}, m AS (SELECT vec_id, i, x[i] AS ax, x[i + 21] AS ay, x[i + 42] AS az, sqrt(x[i] * x[i] + x[i + 21] * x[i + 21] + x[i + 42] * x[i + 42]) / 0.5 AS g FROM vec, unnest(range(1, 22)) AS u(i)),
@@ -194,15 +194,16 @@ def axes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ACC} SELECT vec_id, round(avg(g), 6) AS acc_magnitude_mean, round(stddev_pop(g), 6) AS acc_magnitude_sd, round(max(g), 6) AS acc_magnitude_max, round(avg(abs(g - before)) * 32, 6) AS acc_jerk_mean, round(sum(abs(g - centre)), 6) AS acc_activity_count,
   round(stddev_pop(ax) / 0.5, 6) AS acc_x_sd, round(stddev_pop(ay) / 0.5, 6) AS acc_y_sd, round(stddev_pop(az) / 0.5, 6) AS acc_z_sd FROM mm GROUP BY vec_id""")
 def acc_features(spark, sf_dir):
-    found = features.acc_columns(F.col("ax"), F.col("ay"), F.col("az"), 32.0, 0.5)
-    return axes(spark, sf_dir).select("vec_id", *[r6(v).alias(k) for k, v in found.items()])
+    found = features.spread(axes(spark, sf_dir), ["vec_id"], features.acc_columns(F.col("ax"), F.col("ay"), F.col("az"), 32.0, 0.5))
+    return rounded(found, *found.columns[1:])
 
 
 @query(f"""WITH {SAMPLES}, c AS (SELECT vec_id, v - avg(v) OVER (PARTITION BY vec_id) AS q FROM s)
 SELECT vec_id, round(sqrt(avg(q * q)), 6) AS chest_emg_rms, round(avg(abs(q)), 6) AS chest_emg_mav, round(quantile_cont(abs(q), 0.95), 6) AS chest_emg_p95, round(max(q) - min(q), 6) AS chin_emg_range FROM c GROUP BY vec_id""")
 def emg_features(spark, sf_dir):
-    found = features.emg_columns(F.col("x")) | {"chin_emg_range": features.emg_columns(F.col("x"), "chin_emg")["chin_emg_range"]}
-    return vectors(spark, sf_dir).select("vec_id", *[r6(v).alias(k) for k, v in found.items()])
+    chin = features.emg_columns(F.col("x"), "chin_emg")["chin_emg_range"].alias("chin_emg_range")
+    found = features.spread(vectors(spark, sf_dir), ["vec_id", chin], features.emg_columns(F.col("x")))
+    return rounded(found, *found.columns[1:])
 
 
 @query(f"""WITH {SAMPLES}, d AS (SELECT vec_id, i, v, v - lag(v) OVER w AS d1 FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY i)), e AS (SELECT *, d1 - lag(d1) OVER (PARTITION BY vec_id ORDER BY i) AS d2 FROM d)
