@@ -18,7 +18,7 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     edges = materialise(edges)
     before = None
-    while not edges.isEmpty():
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         # large star: every larger neighbour of u moves to the smallest node around u
@@ -28,7 +28,7 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
         edges = materialise(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        if now == before or not now[0]:
             break
         before = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
