@@ -5,7 +5,7 @@ digits that pass Luhn), phone number.  Then transducers rewrite the text step by
 keeping for every character it emits the source interval that it stands for:
 
 * homoglyphs: full-width forms, Cyrillic and Greek look-alikes, zero-width characters,
-* at and dot disguises: ``[at]``, ``(dot)``, `` AT ``, `` DOT `` and the like,
+* at and dot disguises: ``[at]``, ``(dot)``, and bare ``at`` and ``dot`` before a common ending,
 * spelled digits: runs of ``five five five`` (also "oh" for 0, "double"/"triple").
 
 The detectors run on the rewritten text; what they find is mapped back to source offsets
@@ -91,9 +91,12 @@ LOOKALIKES |= {chr(base + k): str(k) for base in (0x660, 0x6F0, 0x966, 0x1D7CE,
 LOOKALIKES |= {"\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2024": ".", "\u3002": ".", "\u00a0": " ", "\u2009": " ", "\u3000": " "}
 LOOKALIKES |= dict.fromkeys("\u00ad\u200b\u200c\u200d\u2060\ufeff", "")
 HOMOGLYPH = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + "]")
-#: What one of these stands between has to look like an address before it counts.
-AT = re.compile(r"(?<![ \t])[ \t]*[\[({<][ \t]*(?:at|@)[ \t]*[\])}>][ \t]*|(?<=[A-Za-z0-9_%+-])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:[ \t]*[\[({<][ \t]*(?:dot|\.)[ \t]*[\])}>][ \t]*|[ \t]+dot[ \t]+)[A-Za-z0-9])", re.I)
-DOT = re.compile(r"(?<![ \t])[ \t]*[\[({<][ \t]*(?:dot|\.)[ \t]*[\])}>][ \t]*|(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?=[A-Za-z0-9])", re.I)
+#: Last labels that make "x at y dot z" an address without brackets; prose has such words too.
+ENDINGS = "com|org|net|edu|gov|mil|info|biz|io|co|eu|uk|de|fr|es"
+_BRACKETED = r"(?<![ \t])[ \t]*[\[({{<][ \t]*(?:{}|{})[ \t]*[\])}}>][ \t]*"
+_DOT = rf"(?:{_BRACKETED.format('dot', chr(92) + '.')}|(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?=[A-Za-z0-9]))"
+AT = re.compile(rf"{_BRACKETED.format('at', '@')}|(?<=[A-Za-z0-9_%+-])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}(?:{ENDINGS})(?![A-Za-z0-9-]))", re.I)
+DOT = re.compile(_DOT, re.I)
 #: Digit words.
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _ONE = r"(?:(?:double|triple)[ \t-]+)?(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
