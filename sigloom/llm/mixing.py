@@ -104,31 +104,27 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     # the mix: copies in order of finish time, up to the budget
     queue = placed.select("key", "doc_id", "src", "size", F.explode("times").alias("finish")).where(F.col("finish").isNotNull() & (F.col("size") > 0))
     queue = queue.withColumn("slot", F.floor(F.least(F.col("finish"), F.lit(2.0)) * (SLOTS // 2)).cast("int"))
-    budget = targets.agg(F.sum("target").alias("budget"))
-    per_slot = queue.groupBy("slot").agg(F.sum("size").alias("slot_sum"))
-    run = F.sum("slot_sum").over(Window.orderBy("slot"))
+    budget = targets.agg(F.sum("target")).first()[0] or 0.0
+    per_slot = queue.groupBy("slot").agg(F.sum("size").alias("slot_sum"))  # SLOTS + 1 rows at most
+    upto = per_slot.withColumn("upto", F.sum("slot_sum").over(Window.orderBy("slot")))
     # the slot in which the budget runs out; all before it are taken whole
-    last = per_slot.withColumn("upto", run).join(budget).where("upto > budget").agg(F.min("slot").alias("last_slot"), F.min(F.struct("slot", "upto", "slot_sum")).alias("x"))
-    last = last.select(F.coalesce("last_slot", F.lit(2**30)).alias("last_slot"), F.coalesce(F.col("x.upto") - F.col("x.slot_sum"), F.lit(0)).alias("used")).join(budget)
-    row = last.first()
-    edge = queue.where(F.col("slot") == row.last_slot)
+    edge_slot = upto.where(F.col("upto") > F.lit(budget)).orderBy("slot").first()
+    last_slot = edge_slot.slot if edge_slot else 2**30
     order = [F.col("finish"), F.col("key"), F.col("src").asc_nulls_last(), F.col("size")]
-    # one slot holds about 1 / SLOTS of the mix; its order is cut into finer parts likewise
-    edge = edge.withColumn("fine", F.floor((F.col("finish") * (SLOTS // 2) - F.col("slot")) * SLOTS).cast("int"))
-    cut = _cumulated(edge, [], "fine", order, "upto", "size").where((F.col("upto") + F.lit(row.used)) <= F.lit(row.budget))
-    final = cut.agg(F.max(F.struct("finish", "key")).alias("m")).select("m.*").first() if row.last_slot < 2**30 else None
-    if row.last_slot == 2**30:
-        chosen = F.lit(True)
-    elif final is None or final.finish is None:
-        chosen = None
-    else:
-        chosen = (F.lit(final.finish), F.lit(final.key))
-    before = F.lit(row.last_slot)
+    final = None
+    if edge_slot:
+        # one slot holds about 1 / SLOTS of the mix; its order is cut into finer parts likewise
+        edge = queue.where(F.col("slot") == last_slot).withColumn("fine", F.floor((F.col("finish") * (SLOTS // 2) - F.col("slot")) * SLOTS).cast("int"))
+        used = F.lit(edge_slot.upto - edge_slot.slot_sum)
+        fits = _cumulated(edge, [], "fine", order, "upto", "size").where(F.col("upto") + used <= F.lit(budget))
+        final = fits.agg(F.max(F.struct("finish", "key")).alias("m")).first().m
 
     def taken(t: Column) -> Column:
         slot = F.floor(F.least(t, F.lit(2.0)) * (SLOTS // 2)).cast("int")
-        inside = F.lit(True) if isinstance(chosen, Column) else F.lit(False) if chosen is None else (slot == before) & ((t < chosen[0]) | ((t == chosen[0]) & (F.col("key") <= chosen[1])))
-        return F.coalesce((slot < before) | inside, F.lit(False))
+        out = slot < last_slot
+        if final:
+            out = out | ((slot == last_slot) & ((t < F.lit(final.finish)) | ((t == F.lit(final.finish)) & (F.col("key") <= final.key))))
+        return F.coalesce(out, F.lit(False))
 
     kept = F.when(F.col("size") > 0, F.filter("times", taken)).otherwise(F.expr("cast(array() as array<double>)"))
     out = placed.withColumn("finish", kept)
