@@ -3,9 +3,16 @@
 Fitting takes a bounded sample: at most ``sample_rows`` labelled rows per language, those
 with the smallest hash of doc_id, and at most ``max_languages`` languages (an error beyond,
 never a cut).  Spherical k-means gives each language up to ``clusters`` centroids, and a
-document gets the language of the centroid with the largest cosine.  A document whose
-cosine distance to its nearest centroid exceeds ``max_distance`` is rejected, as is one
-without a letter.  Prediction scans whole texts, shuffles nothing, and sees the text alone.
+document gets the language of the centroid with the largest cosine.  A document too far
+from its nearest centroid is rejected, as is one without a letter.  Prediction scans whole
+texts, shuffles nothing, and sees the text alone.
+
+How far is too far follows the sample, per language and length (log2 of the number of
+different features, as short texts are far from every centroid): centroids of one half of
+the sample score pieces of the other half, and a document stays with at least ``SLACK`` of
+the cosine that all but ``LOWEST`` of the pieces reach.  Lengths with fewer than ``PIECES``
+pieces use the limit of the next shorter one, and a language with fewer sample rows than
+that rejects beyond ``MAX_DISTANCE`` only.  A ``max_distance`` that is given replaces all this.
 
 Features: byte n-grams of 1 to 4 of the lower-cased text in which every run of ASCII
 non-letters is one space, hashed into ``DIM`` columns.
@@ -32,6 +39,9 @@ SCAN_BYTES = 1 << 20
 #: Rows of the dense count matrix at a time.
 SCAN_ROWS = 256
 MAX_DISTANCE = 0.97
+SLACK = 0.4
+LOWEST = 0.05
+PIECES = 20
 
 _KEEP = np.full(256, 0x20, np.uint8)
 _KEEP[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -44,6 +54,7 @@ class Centroids:
     owner: np.ndarray  # language of each centroid
     vectors: np.ndarray  # unit rows
     idf: np.ndarray
+    limits: np.ndarray  # least cosine that stays, by language and log2 of the number of features
 
 
 def has_letter(text: str) -> bool:
@@ -96,6 +107,45 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return mid
 
 
+def _pieces(text: str) -> list[str]:
+    """Openings of 4, 8, 16... characters, and the whole text."""
+    cut = [text[: 1 << k] for k in range(2, max(2, (len(text) - 1).bit_length()))]
+    return [t for t in [*cut, text] if has_letter(t)]
+
+
+def _size(tf: np.ndarray) -> np.ndarray:
+    return np.frexp(np.maximum((tf > 0).sum(1), 1))[1] - 1
+
+
+def rejection_limits(texts: list[str], x: np.ndarray, owner: np.ndarray, idf: np.ndarray, languages: int, clusters: int) -> np.ndarray:
+    """Least cosine that stays, by language and log2 of the number of features, by halves of the sample."""
+    half = np.zeros(len(owner), int)
+    for j in range(languages):
+        half[owner == j] = np.arange((owner == j).sum()) % 2
+    seen: dict[tuple[int, int], list[float]] = {}
+    for side in range(2):
+        known = [j for j in range(languages) if ((owner == j) & (half != side)).any()]
+        if not known:
+            continue
+        mids = [spherical_kmeans(x[(owner == j) & (half != side)], clusters) for j in known]
+        of = np.repeat(known, [len(m) for m in mids])
+        mid = np.concatenate(mids).astype(np.float32)
+        for i in np.flatnonzero(half == side):
+            tf = counts(_pieces(texts[i]))
+            cos = vectors(tf, idf) @ mid.T
+            for j, size, c in zip(of[cos.argmax(1)].tolist(), _size(tf).tolist(), cos.max(1).tolist(), strict=True):
+                seen.setdefault((j, size), []).append(c)
+    out = np.full((languages, DIM.bit_length()), 1 - MAX_DISTANCE)
+    for j in np.flatnonzero(np.bincount(owner, minlength=languages) >= PIECES):
+        for size in range(out.shape[1]):
+            found = seen.get((j, size), [])
+            if len(found) >= PIECES:
+                out[j, size] = max(SLACK * np.quantile(found, LOWEST), 1 - MAX_DISTANCE)
+            elif size:
+                out[j, size] = out[j, size - 1]
+    return out
+
+
 def fit(docs: DataFrame, trainable, clusters: int = 3, sample_rows: int = SAMPLE_ROWS, max_languages: int = 500) -> Centroids:
     """Centroids from a bounded sample of the rows of ``docs`` where ``trainable`` holds and lang is known."""
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"), trainable.alias("use"))
@@ -114,27 +164,30 @@ def fit(docs: DataFrame, trainable, clusters: int = 3, sample_rows: int = SAMPLE
     sample = sorted((r.lang, r.doc_id, r.text) for r in chosen.collect() if r.text and has_letter(r.text))
     languages = sorted({x[0] for x in sample}, key=lambda x: x.encode())
     if not languages:
-        return Centroids([], np.zeros(0, int), np.zeros((0, DIM), np.float32), np.ones(DIM, np.float32))
+        return Centroids([], np.zeros(0, int), np.zeros((0, DIM), np.float32), np.ones(DIM, np.float32), np.zeros((0, DIM.bit_length())))
     tf = np.concatenate([counts([x[2]]) for x in sample])
     idf = np.log((1 + len(sample)) / (1 + (tf > 0).sum(0))).astype(np.float32) + 1
     x = vectors(tf, idf)
     owner = np.array([languages.index(s[0]) for s in sample])
     mids = [spherical_kmeans(x[owner == j], clusters) for j in range(len(languages))]
-    return Centroids(languages, np.repeat(np.arange(len(languages)), [len(m) for m in mids]), np.concatenate(mids).astype(np.float32), idf)
+    limits = rejection_limits([s[2] for s in sample], x, owner, idf, len(languages), clusters)
+    return Centroids(languages, np.repeat(np.arange(len(languages)), [len(m) for m in mids]), np.concatenate(mids).astype(np.float32), idf, limits)
 
 
-def predict(model: Centroids, texts: list[str | None], max_distance: float) -> tuple[list[str], np.ndarray, np.ndarray]:
+def predict(model: Centroids, texts: list[str | None], max_distance: float | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score (cosine, 0 to 1) and whether it is rejected, of each text."""
     lang = [UNKNOWN] * len(texts)
     score = np.zeros(len(texts))
     rejected = np.ones(len(texts), bool)
     ask = [i for i, t in enumerate(texts) if t and has_letter(t)] if model.languages else []
     if ask:
-        cos = vectors(counts([texts[i] for i in ask]), model.idf) @ model.vectors.T
+        tf = counts([texts[i] for i in ask])
+        cos = vectors(tf, model.idf) @ model.vectors.T
         best = np.argmax(cos, axis=1)  # the first of equals
-        for i, j, x in zip(ask, best.tolist(), cos.max(1).tolist(), strict=True):
+        least = model.limits[model.owner[best], _size(tf)] if max_distance is None else np.full(len(ask), 1 - max_distance)
+        for i, j, x, low in zip(ask, best.tolist(), cos.max(1).tolist(), least.tolist(), strict=True):
             lang[i], score[i] = model.languages[model.owner[j]], min(1.0, max(0.0, x))
-            rejected[i] = 1 - score[i] > max_distance
+            rejected[i] = score[i] < low
     return lang, score, rejected
 
 
@@ -149,7 +202,7 @@ def _batches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield i, len(texts)
 
 
-def identify(docs: DataFrame, model: Centroids, max_distance: float = MAX_DISTANCE) -> DataFrame:
+def identify(docs: DataFrame, model: Centroids, max_distance: float | None = None) -> DataFrame:
     """doc_id, lang_pred, score and rejected of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM numbers per centroid, at most max_languages * clusters
 
@@ -164,7 +217,7 @@ def identify(docs: DataFrame, model: Centroids, max_distance: float = MAX_DISTAN
     return src.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
-def drop_rejected(docs: DataFrame, model: Centroids, max_distance: float = MAX_DISTANCE) -> DataFrame:
+def drop_rejected(docs: DataFrame, model: Centroids, max_distance: float | None = None) -> DataFrame:
     """``docs``, all columns, without the rows that ``identify`` rejects."""
     at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
