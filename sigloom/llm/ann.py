@@ -8,8 +8,10 @@ lines are candidates, and the widening stops when a block has ``verify`` times i
 them (and no fewer than ``k``).  Candidates are verified by the exact inner product in
 double precision; each query keeps its ``k`` best of all blocks.
 
-Inner product becomes distance by one more coordinate, sqrt(M^2 - |x|^2), with M the
-largest length; queries get 0 there.
+Inner product becomes distance by one more coordinate, sqrt(M^2 - |x|^2); queries are
+scaled to M and get 0 there.  As that coordinate only adds noise, a block's vectors are
+dealt into bands whose lengths differ by ``BAND`` at most; each band has its own M, the
+largest length in it, its own lines and its own candidates.
 
 Queries travel to all blocks, a stated query set against all rows; more than
 ``query_rows`` of them travel in chunks.  Per query and block only ``k`` rows come back.
@@ -36,6 +38,8 @@ BLOCK_ROWS = 8192
 QUERY_ROWS = 65_536
 #: Queries that are counted together.
 BATCH = 32
+#: Largest over smallest length in a band.
+BAND = 1.1
 
 
 class Index:
@@ -44,7 +48,7 @@ class Index:
     def __init__(self, x: np.ndarray, longest: float, projections: int, seed: int):
         if len(x) > 32_767 or projections > 255:
             raise ValueError("places and counts are kept in small integers")
-        self.x = x
+        self.x, self.longest = x, longest
         extra = np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))
         self.lines = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, projections))
         on_line = (x @ self.lines[:-1] + extra[:, None] * self.lines[-1]).T
@@ -67,7 +71,7 @@ class Index:
         n = len(self.x)
         if need >= n:
             return [np.arange(n)] * len(q), radius
-        at = q @ self.lines[:-1]
+        at = (q * (self.longest / np.linalg.norm(q, axis=1, keepdims=True))) @ self.lines[:-1]
         radii, open_ = np.full(len(q), radius), np.arange(len(q))
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
         while len(open_):
@@ -80,7 +84,19 @@ class Index:
         return out, float(radii.min())
 
 
-def _search(k: int, projections: int, share: float, verify: float, ratio: float, longest: float, seed: int):
+def bands(x: np.ndarray) -> list[np.ndarray]:
+    """Places of the vectors of each band, in ascending order."""
+    length = np.linalg.norm(x, axis=1)
+    order = np.argsort(length, kind="stable")
+    out, start = [], 0
+    while start < len(order):
+        end = np.searchsorted(length[order], length[order[start]] * BAND, side="right")
+        out.append(np.sort(order[start : max(end, start + 1)]))
+        start = max(end, start + 1)
+    return out
+
+
+def _search(k: int, projections: int, share: float, verify: float, ratio: float, seed: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
         if left.num_rows and right.num_rows:
@@ -92,13 +108,20 @@ def _search(k: int, projections: int, share: float, verify: float, ratio: float,
             by = np.argsort(asked)
             queries = right.column("query").combine_chunks().flatten().to_numpy().reshape(len(asked), -1)[by]
             asked = asked[by]
-            index = Index(x, longest, projections, seed)
+            parts = []
+            for rows in bands(x):
+                index = Index(x[rows], float(np.linalg.norm(x[rows], axis=1).max()), projections, seed)
+                need = max(k + 1, int(np.ceil(verify * len(rows))))
+                parts.append([rows, index, need, float(index.sorted.std()) * 0.4])
             threshold = max(1, int(np.ceil(share * projections)))
-            need = max(k + 1, int(np.ceil(verify * len(x))))
-            radius = float(index.sorted.std()) * 0.4
             for i in range(0, len(asked), BATCH):
-                some, least = index.candidates(queries[i : i + BATCH], need, threshold, radius, ratio)
-                radius = least / ratio  # where the next batch starts to widen
+                every = []
+                for part in parts:
+                    rows, index, need, radius = part
+                    some, least = index.candidates(queries[i : i + BATCH], need, threshold, radius, ratio)
+                    part[3] = least / ratio  # where the next batch starts to widen
+                    every.append([rows[found] for found in some])
+                some = [np.sort(np.concatenate(found)) for found in zip(*every, strict=True)]
                 for query, q, found in zip(asked[i : i + BATCH], queries[i : i + BATCH], some, strict=True):
                     found = found[ids[found] != query]
                     score = x[found] @ q
@@ -133,13 +156,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, projections: int = 96, sh
     verified per query at least; recall grows with it.
     """
     rows = materialise(usable(vectors))
-    n, longest = rows.agg(F.count("*"), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))).first()
+    n = rows.count()
     blocks = max(1, -(-n // block_rows))
     queries = rows.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
     chunks = max(1, -(-queries.count() // query_rows))
     data = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     asked = queries.withColumn("chunk", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(chunks))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     data = data.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
-    found = data.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(_search(k, projections, share, verify, ratio, float(longest or 0.0), seed), SCHEMA)
+    found = data.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(_search(k, projections, share, verify, ratio, seed), SCHEMA)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,10 +3,11 @@
 import base64
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigloom.llm import language_id
+from sigloom.llm import ann, language_id
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -46,3 +47,23 @@ def test_a_language_with_few_sample_rows_keeps_its_documents(spark):
     assert language_id.identify(docs, model).where("rejected").count() == 0
     assert model.limits[model.languages.index("de")] == pytest.approx(1 - language_id.MAX_DISTANCE)
     assert language_id.fit(docs, F.col("doc_id").isin(0, 200)).languages == ["de", "en"]
+
+
+# ---------------------------------------------------------------- nearest neighbours
+
+
+@pytest.mark.parametrize("lengths", ["outlier", "spread"])
+def test_recall_with_unequal_lengths(spark, lengths):
+    rng = np.random.default_rng(3)
+    n, dim = 3000, 32
+    x = rng.normal(size=(60, dim))[rng.integers(0, 60, n)] + 0.5 * rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= np.exp(rng.normal(size=(n, 1))) if lengths == "spread" else np.where(np.arange(n) == 1, 10.0, 1.0)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    hits = 0
+    got = ann.nearest(df, lambda v: F.pmod(v, F.lit(50)) == 0, k=20, verify=0.05).collect()
+    for q in range(0, n, 50):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert hits / (20 * (n // 50)) >= 0.95
