@@ -81,7 +81,8 @@ def personalisation(spark, sf_dir):
     """Raw, cohort, personal and prevalence probabilities of the same rows, scored per subject."""
     rows = embedded(spark, sf_dir).withColumn("start", F.col("vec_id") * 5.0)
     rows = enrolment.enrol(rows, "subject_id", "start", "label", 0.3, "blocks", length=5.0)
-    found, _ = models.personalise(rows, NAMES, models.logistic, "subject_id", ["S0", "S1"])
+    subjects = sorted(r.subject_id for r in rows.select("subject_id").distinct().collect())
+    found, _ = models.personalise(rows, NAMES, models.logistic, "subject_id", subjects)
     return rounded(metrics.calibration(found, ["subject_id", "variant"]).join(metrics.brier(found, ["subject_id", "variant"]), ["subject_id", "variant"]), "ece", "brier")
 
 
