@@ -50,7 +50,7 @@ def test_held_out_accuracy(spark, sf_dir):
 
 
 def test_personal_data_of_the_table(spark, sf_dir):
-    from test_operators import base_spans
+    from test_llm_operators import base_spans
 
     docs = documents(sf_dir)
     import hashlib
@@ -78,7 +78,7 @@ def test_neighbours_of_the_table(spark, sf_dir):
 
 
 def test_pipeline_stage_by_stage(spark, sf_dir):
-    from test_operators import plain_components, plain_hits, targets
+    from test_llm_operators import plain_components, plain_hits, targets
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
