@@ -153,23 +153,56 @@ class Block:
 
 # ---------------------------------------------------------------- hashes
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: dict[int, tuple[np.ndarray, ...]] = {}
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The second modulus, 2**61 - 1.
+PRIME = (1 << 61) - 1
+_P, _61, _32, _29, _LOW32, _LOW29 = (np.uint64(x) for x in (PRIME, 61, 32, 29, 0xFFFFFFFF, 0x1FFFFFFF))
+#: Elements of a product at a time, so that its terms stay in the processor's cache.
+PRODUCT_STEP = 1 << 14
+
+
+def fold61(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, element by element; both are below it."""
+    out = np.empty(len(a), np.uint64)
+    for i in range(0, len(a), PRODUCT_STEP):
+        x, y = a[i : i + PRODUCT_STEP], b[i : i + PRODUCT_STEP]
+        x1, x0, y1, y0 = x >> _32, x & _LOW32, y >> _32, y & _LOW32
+        low, mid = x0 * y0, x1 * y0 + x0 * y1
+        total = ((x1 * y1) << np.uint64(3)) + (mid >> _29) + ((mid & _LOW29) << _32) + (low & _P) + (low >> _61)
+        out[i : i + PRODUCT_STEP] = fold61(total)
+    return out
+
+
+def _powers61(base: int, size: int) -> np.ndarray:
+    out = np.ones(size, np.uint64)
+    n = 1
+    while n < size:
+        m = min(n, size - n)
+        out[n : n + m] = times(out[:m], np.full(m, pow(base, n, PRIME), np.uint64))
+        n += m
+    return out
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64 for i below n; base is odd."""
+def powers(base: int, n: int) -> list[np.ndarray]:
+    """base**i and its inverse modulo 2**64, and both modulo PRIME, for i below n; base is odd."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
         size = max(n, 1 << 16)
         up = np.full(size, base, np.uint64)
         down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
-        have = np.cumprod(up), np.cumprod(down)
+        have = np.cumprod(up), np.cumprod(down), _powers61(base % PRIME, size), _powers61(pow(base, -1, PRIME), size)
         if size <= 1 << 23:
             _POWERS[base] = have
-    return have[0][:n], have[1][:n]
+    return [x[:n] for x in have]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -182,15 +215,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(values: np.ndarray, base: int) -> np.ndarray:
-    """Rabin-Karp prefix sums: out[j] is the sum of values[i] * base**i below j, modulo 2**64."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(base, len(values))[0], out=out[1:])
-    return out
-
+def prefix_sums(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rabin-Karp prefix sums of values[i] * base**i below j, modulo 2**64 and modulo PRIME.
 
-def spans_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    return (sums[end] - sums[start]) * powers(base, len(sums))[1][start]
+    Modulo a power of two alone, a Thue-Morse string and its complement agree for every base.
+    """
+    up, _, up61, _ = powers(base, len(values))
+    wrapped, prime = np.zeros(len(values) + 1, np.uint64), np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up, out=wrapped[1:])
+    terms = times(fold61(values), up61)
+    high, low = np.cumsum(terms >> _32), np.cumsum(terms & _LOW32)  # exact below 2**32 terms
+    prime[1:] = fold61((high >> _29) + ((high & _LOW29) << _32) + fold61(low))
+    return wrapped, prime
+
+
+def spans_hash(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """64 bits of both residues of each span."""
+    wrapped, prime = sums
+    _, down, _, down61 = powers(base, len(wrapped))
+    residue = times(fold61(prime[end] + (_P - prime[start])), down61[start])
+    return (wrapped[end] - wrapped[start]) * down[start] + mix(residue)
 
 
 class Words:
