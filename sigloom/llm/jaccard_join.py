@@ -24,14 +24,17 @@ Everything before step 4 is linear in the text.  Sets are compared by 64-bit has
 Defined results: null, empty and wordless texts have an empty set, size 0, and link with
 nothing; a text of fewer than ``n`` words is one n-gram, its whole sequence; rows with
 equal doc_id count as separate documents that equal sets link; a null doc_id cannot name a
-component: it counts as larger than all others and comes out as null.
+component: it counts as larger than all others and comes out as null.  Extra columns are
+never read by name, so any name may occur; very long texts are single blocks.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as c
@@ -40,7 +43,7 @@ from .components import connected_components
 PART = 512
 #: Distinct n-grams in one fragment of the global order, within one join.
 FRAGMENT = 4096
-DOC_SCHEMA = "row_id long, doc_id long, n_shingles long, sig_a long, sig_b long, n_prefix int, tokens array<long>"
+DOC_SCHEMA = "row_id long, doc_id long, n_shingles long, sig_a long, sig_b long, n_prefix int, text_md5 string, tokens array<long>"
 LINK_SCHEMA = "a long, b long"
 
 
@@ -181,8 +184,8 @@ def _sets_table(docs: DataFrame, n: int, percent: int, block_bytes: int) -> Data
         ends = np.append(0, np.cumsum(counts))
         arrays = pa.ListArray.from_arrays(pa.array([None if not s else x for s, x in zip(sends.tolist(), ends[:-1].tolist(), strict=True)] + [int(ends[-1])], pa.int32()), pa.array(tokens, pa.int64()))
         return pa.table(
-            [pa.array((b.block << 24) + np.arange(m), pa.int64()), pa.array(b.ids, pa.int64()), pa.array(size, pa.int64()), pa.array(np.where(maybe, sig_a.view(np.int64), 0), pa.int64()), pa.array(np.where(maybe, sig_b.view(np.int64), 0), pa.int64()), pa.array(np.where(maybe, prefix, 0), pa.int32()), arrays],
-            names=["row_id", "doc_id", "n_shingles", "sig_a", "sig_b", "n_prefix", "tokens"],
+            [pa.array((b.block << 24) + np.arange(m), pa.int64()), pa.array(b.ids, pa.int64()), pa.array(size, pa.int64()), pa.array(np.where(maybe, sig_a.view(np.int64), 0), pa.int64()), pa.array(np.where(maybe, sig_b.view(np.int64), 0), pa.int64()), pa.array(np.where(maybe, prefix, 0), pa.int32()), pa.array([hashlib.md5(t, usedforsecurity=False).hexdigest() for t in b.texts], pa.string()), arrays],
+            names=["row_id", "doc_id", "n_shingles", "sig_a", "sig_b", "n_prefix", "text_md5", "tokens"],
         )
 
     counts = c.over_blocks(blocks, ask).groupBy("bucket").applyInArrow(count, c.BLOB_SCHEMA)
@@ -222,11 +225,8 @@ def _links(sets: DataFrame, reps: DataFrame, percent: int, part: int) -> DataFra
     return first.union(second)
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block_bytes: int = c.BLOCK_BYTES, part: int = PART) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id that links reach) of every document.
-
-    Two documents link when 100 * intersection >= ``percent`` * union of their n-gram sets.
-    """
+def _placed(docs: DataFrame, n: int, percent: int, block_bytes: int, part: int) -> DataFrame:
+    """doc_id, n_shingles, text_md5, root and component_id of every document; root is null where nothing can link."""
     sets = _sets_table(docs, n, percent, block_bytes)
     named = sets.withColumn("name", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
     classes = named.where("n_prefix > 0").groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("row_id").alias("rep"), F.min("name").alias("least"))
@@ -236,17 +236,35 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block_byt
     # a class's component is named by the smallest doc_id in it
     placed = classes.select("rep", "least", F.col("sig_a").alias("c_a"), F.col("sig_b").alias("c_b"), F.col("n_shingles").alias("c_n")).join(joined, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("component", "rep"))
     names = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = placed.join(names, "root").select("c_a", "c_b", "c_n", "component_id")
-    rest = named.where("n_prefix <= 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    placed = placed.join(names, "root").select("c_a", "c_b", "c_n", "root", "component_id")
+    rest = named.where("n_prefix <= 0").select("doc_id", "n_shingles", "text_md5", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
     found = named.where("n_prefix > 0").join(placed, (F.col("sig_a") == F.col("c_a")) & (F.col("sig_b") == F.col("c_b")) & (F.col("n_shingles") == F.col("c_n")))
-    found = found.select("doc_id", "n_shingles", F.when(F.col("component_id") < (1 << 63) - 1, F.col("component_id")).alias("component_id"))
-    return found.union(rest)
+    return found.select("doc_id", "n_shingles", "text_md5", "root", F.when(F.col("component_id") < (1 << 63) - 1, F.col("component_id")).alias("component_id")).union(rest)
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block_bytes: int = c.BLOCK_BYTES, part: int = PART) -> DataFrame:
+    """doc_id, n_shingles and component_id (smallest doc_id that links reach) of every document.
+
+    Two documents link when 100 * intersection >= ``percent`` * union of their n-gram sets.
+    """
+    return _placed(docs, n, percent, block_bytes, part).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one_per_component(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs``, all columns, with the smallest doc_id of each component; rows without doc_id all stay.
+    """``docs``, all columns, with one row of each component: smallest doc_id (null last), then smallest MD5 of the text.
 
-    Documents without words have no component but their own and stay.
+    Of rows that repeat both, the one whose columns come first as JSON stays.  Documents
+    without words, and those that nothing can link with, have no component but their own
+    and all stay, repeated or not.
     """
-    found = jaccard_components(docs, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(found, docs["doc_id"] == found["kept_id"], "left_semi").unionByName(docs.where(docs["doc_id"].isNull()))
+    placed = _placed(docs, n, percent, c.BLOCK_BYTES, PART).select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("name"), F.col("doc_id").isNull().alias("unnamed"), "text_md5", "root")
+    key = F.struct("unnamed", "name", "text_md5")
+    alike = placed.where("root is not null").groupBy("root", key.alias("kept_key")).agg(F.count("*").alias("kept_rows"))
+    first = alike.groupBy("root").agg(F.min(F.struct("kept_key", "kept_rows")).alias("first"))
+    keep = first.select("first.*").union(placed.where("root is null").select(key, F.lit(1).cast("long")).distinct())
+    own = F.struct(docs["doc_id"].cast("long").isNull().alias("unnamed"), F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1)).alias("name"), F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary")).alias("text_md5"))
+    found = docs.select(F.struct("*").alias("row"), own.alias("own_key")).join(keep, F.col("own_key") == F.col("kept_key"))
+    # only rows that repeat id and text are numbered; the sort keeps one a task before it shuffles
+    place = F.row_number().over(Window.partitionBy("own_key").orderBy(F.to_json("row"), F.xxhash64("own_key")))
+    again = found.where("kept_rows > 1").withColumn("place", place).where("place = 1")
+    return found.where("kept_rows = 1").select("row.*").unionByName(again.select("row.*"))

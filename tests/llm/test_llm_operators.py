@@ -267,6 +267,17 @@ def test_one_of_each_group_stays(spark):
     assert {r.doc_id for r in kept.collect()} == set(comp.values())
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, other = (" ".join(f"{x}{i}" for i in range(40)) for x in "aby")
+    rows = [(3, a, "x", 1), (3, a, "x", 1), (3, a, "w", 2), (5, b, "x", 3), (5, a, "x", 4), (None, a, "x", 5), (None, other, "x", 6), (None, other, "v", 7), (9, "", "x", 8), (9, "", "x", 8), (None, None, None, None), (7, "lone words here", None, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept_key int").withColumn("row", F.lit("r")).withColumn("root", F.map_from_arrays(F.array(F.lit("k")), F.array("kept_key")))
+    kept = jaccard_join.keep_one_per_component(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text, r.lang, r.kept_key) for r in kept.collect()), key=repr)
+    want = [(3, a, "w", 2), (5, b, "x", 3), (None, other, "v", 7), (9, "", "x", 8), (9, "", "x", 8), (None, None, None, None), (7, "lone words here", None, 9)]
+    assert got == sorted(want, key=repr)
+
+
 def test_components_of_links(spark):
     rng = random.Random(10)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(50)]
@@ -546,7 +557,7 @@ def test_null_ids(spark):
     assert len(mixing.mix_sources(df).collect()) == len(sharding.shard_documents(df).collect()) == 4
     assert pii.find_pii(df).count() == lm_scoring.cross_entropy_difference(df, df.select("doc_id")).count() == 4
     assert language_id.identify(df, language_id.fit(df, F.lit(True))).count() == 4
-    assert jaccard_join.keep_one_per_component(df).where("doc_id is null").count() == 2
+    assert sorted(r.doc_id for r in jaccard_join.keep_one_per_component(df).collect()) == [2, 3]
 
 
 def test_blocks_and_numbers_round_trip(spark):
