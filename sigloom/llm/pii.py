@@ -20,6 +20,7 @@ rows agree; an empty table gives no rows.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -164,9 +165,15 @@ def find(text: str) -> list[tuple[str, int, int, bool]]:
     out = [(k, s, e, True) for k, s, e in base]
     m = spelled_digits(at_and_dot(homoglyphs(Mapped(text))))
     if m.start is not None:
+        taken: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
+        for k, s, e in sorted(base, key=lambda x: x[1]):
+            taken[k].append((s, e))
         for k, i, j in detect(m.text):
             s, e = m.back(i, j)
-            if not any(k == kind and s < y and x < e for kind, x, y, _ in out):
+            # spans of one kind don't overlap, so only the last that starts before the end can
+            at = bisect.bisect_left(taken[k], (e,))
+            if not (at and taken[k][at - 1][1] > s):
+                taken[k].insert(at, (s, e))
                 out.append((k, s, e, False))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
