@@ -18,8 +18,10 @@ Queries travel to all blocks, a stated query set against all rows; more than
 Work is queries times rows, at about a byte operation per line.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component take
-no part, nor do those of another length than the longest group (the commonest length, the
-smaller of equals); null ids take no part; of rows with equal vec_id one is kept (the
+no part; vectors of different dimensions have no inner product, so each dimension is searched
+on its own; products beyond the range of a double are infinite or zero, and tie (a sum of both infinities
+counts as the smallest);
+null ids take no part; of rows with equal vec_id one is kept (the
 smallest vector); with fewer than ``k`` candidates a query gets them all; an empty table
 gives no rows.
 """
@@ -42,14 +44,30 @@ BATCH = 32
 BAND = 1.1
 
 
+def exponents(x: np.ndarray) -> np.ndarray:
+    """The power of two that is next above each row's largest component."""
+    return np.frexp(np.abs(x).max(axis=1))[1]
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """The rows at length 1; their squares never leave the range of a double on the way."""
+    near = np.ldexp(x, -exponents(x)[:, None])
+    return near / np.linalg.norm(near, axis=1, keepdims=True)
+
+
 class Index:
-    """Sorted projections of some vectors, and each vector's place in every one of them."""
+    """Sorted projections of some vectors, and each vector's place in every one of them.
+
+    The vectors are first scaled by one power of two, so that the longest is about 1 long.
+    """
 
-    def __init__(self, x: np.ndarray, longest: float, projections: int, seed: int):
+    def __init__(self, x: np.ndarray, projections: int, seed: int):
         if len(x) > 32_767 or projections > 255:
             raise ValueError("places and counts are kept in small integers")
-        self.x, self.longest = x, longest
-        extra = np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))
+        x = np.ldexp(x, -int(exponents(x).max()))
+        length = np.linalg.norm(x, axis=1)
+        self.x, self.longest = x, float(length.max())
+        extra = np.sqrt(np.maximum(self.longest**2 - length**2, 0))
         self.lines = np.random.default_rng(seed).standard_normal((x.shape[1] + 1, projections))
         on_line = (x @ self.lines[:-1] + extra[:, None] * self.lines[-1]).T
         order = np.argsort(on_line, axis=1)
@@ -71,7 +89,7 @@ class Index:
         n = len(self.x)
         if need >= n:
             return [np.arange(n)] * len(q), radius
-        at = (q * (self.longest / np.linalg.norm(q, axis=1, keepdims=True))) @ self.lines[:-1]
+        at = (unit(q) * self.longest) @ self.lines[:-1]
         radii, open_ = np.full(len(q), radius), np.arange(len(q))
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
         while len(open_):
@@ -86,11 +104,12 @@ class Index:
 
 def bands(x: np.ndarray) -> list[np.ndarray]:
     """Places of the vectors of each band, in ascending order."""
-    length = np.linalg.norm(x, axis=1)
+    power = exponents(x)
+    length = power + np.log2(np.linalg.norm(np.ldexp(x, -power[:, None]), axis=1))
     order = np.argsort(length, kind="stable")
     out, start = [], 0
     while start < len(order):
-        end = np.searchsorted(length[order], length[order[start]] * BAND, side="right")
+        end = np.searchsorted(length[order], length[order[start]] + np.log2(BAND), side="right")
         out.append(np.sort(order[start : max(end, start + 1)]))
         start = max(end, start + 1)
     return out
@@ -110,9 +129,9 @@ def _search(k: int, projections: int, share: float, verify: float, ratio: float,
             asked = asked[by]
             parts = []
             for rows in bands(x):
-                index = Index(x[rows], float(np.linalg.norm(x[rows], axis=1).max()), projections, seed)
+                index = Index(x[rows], projections, seed)
                 need = max(k + 1, int(np.ceil(verify * len(rows))))
-                parts.append([rows, index, need, float(index.sorted.std()) * 0.4])
+                parts.append([rows, index, need, max(float(index.sorted.std()) * 0.4, 1e-9)])
             threshold = max(1, int(np.ceil(share * projections)))
             for i in range(0, len(asked), BATCH):
                 every = []
@@ -125,6 +144,7 @@ def _search(k: int, projections: int, share: float, verify: float, ratio: float,
                 for query, q, found in zip(asked[i : i + BATCH], queries[i : i + BATCH], some, strict=True):
                     found = found[ids[found] != query]
                     score = x[found] @ q
+                    score[np.isnan(score)] = -np.inf
                     if len(found) > k:
                         top = score >= np.partition(score, len(score) - k)[len(score) - k]
                         found, score = found[top], score[top]
@@ -144,9 +164,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), v.alias("vector")).where("vec_id is not null and vector is not null")
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = rows.where(fine).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    sizes = rows.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows"))
-    commonest = sizes.agg(F.max_by("n", F.struct("rows", -F.col("n"))).alias("dim"))
-    return rows.join(F.broadcast(commonest), F.size("vector") == F.col("dim")).select("vec_id", "vector")
+    return rows.select("vec_id", "vector")
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, projections: int = 96, share: float = 0.6, verify: float = 0.12, ratio: float = 1.25, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, seed: int = 7) -> DataFrame:
@@ -160,9 +178,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, projections: int = 96, sh
     blocks = max(1, -(-n // block_rows))
     queries = rows.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
     chunks = max(1, -(-queries.count() // query_rows))
+    rows, queries = rows.withColumn("dim", F.size("vector")), queries.withColumn("dim", F.size("query"))
     data = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     asked = queries.withColumn("chunk", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(chunks))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     data = data.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
-    found = data.groupBy("block", "chunk").cogroup(asked.groupBy("block", "chunk")).applyInArrow(_search(k, projections, share, verify, ratio, seed), SCHEMA)
+    found = data.groupBy("dim", "block", "chunk").cogroup(asked.groupBy("dim", "block", "chunk")).applyInArrow(_search(k, projections, share, verify, ratio, seed), SCHEMA)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
