@@ -266,20 +266,22 @@ class Words:
         self.first = np.searchsorted(self.doc, np.arange(len(texts)), side="left")
         self.count = np.searchsorted(self.doc, np.arange(len(texts)), side="right") - self.first
 
+    @functools.cached_property
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        return prefix_sums(self.hash, WORD_BASE)
+
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Index of each word that starts ``size`` words of one text, and the Rabin-Karp hash of those words."""
         n = len(self.hash)
         if n < size:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         at = np.flatnonzero(self.doc[: n - size + 1] == self.doc[size - 1 :])
-        sums = prefix_sums(self.hash, WORD_BASE)
-        return at, mix(spans_hash(sums, at, at + size, WORD_BASE) + np.uint64(size))
+        return at, mix(spans_hash(self.sums, at, at + size, WORD_BASE) + np.uint64(size))
 
     def whole(self, docs: np.ndarray) -> np.ndarray:
         """The hash that ``windows`` would give to all words of each of the given texts."""
-        sums = prefix_sums(self.hash, WORD_BASE)
         a, n = self.first[docs], self.count[docs]
-        return mix(spans_hash(sums, a, a + n, WORD_BASE) + n.astype(np.uint64))
+        return mix(spans_hash(self.sums, a, a + n, WORD_BASE) + n.astype(np.uint64))
 
 
 # ---------------------------------------------------------------- byte strings of numbers

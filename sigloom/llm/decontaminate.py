@@ -3,7 +3,8 @@
 The benchmark's windows are hashed into sorted arrays that are broadcast once their size
 is known: a slice holds at most ``slice_bytes`` of benchmark text.  A larger benchmark is
 dealt into slices by item, and the documents pass by one slice after another; each
-slice adds its spans and items to what the document already has.  Documents are never
+slice adds its spans and items to what the document already has.  Spans are cut once, after
+the last slice.  Documents are never
 shuffled.  A hash hit counts only after the words themselves agree.
 
 Defined results: null or wordless texts have no windows and no hits; an item without
@@ -13,7 +14,6 @@ tables give zeros or no rows.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,51 +28,70 @@ SEPARATORS = np.ones(256, bool)
 SEPARATORS[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 #: A to Z lower-cased, everything else left.
 FOLD = c.LOWER
-SLICE_BYTES = 64 << 20
+#: Benchmark text of one broadcast set; a built set takes about ten times as much.
+SLICE_BYTES = 16 << 20
+CACHE = 50_000
 SCAN_BYTES = 2 << 20
 SPANS = "array<struct<start:long,end:long>>"
 SCHEMA = f"doc_id long, n_words long, n_hit long, spans {SPANS}, item_ids array<string>"
 
 
 class Grams:
-    """Windows of some items: by length, sorted hashes; by hash, the words and the items."""
+    """Windows of some items as arrays: by length, sorted hashes and the word at which each starts.
+
+    About 10 bytes for a byte of text.  Words and items of a hash are looked up when a
+    document hits it; ``CACHE`` looked-up hashes are kept.
+    """
 
     def __init__(self, ids: list[str], texts: list[str], window: int):
         w = c.Words([t.encode() for t in texts], SEPARATORS, FOLD)
-        self.window, self.owners = window, defaultdict(set)
-        self.words: dict[tuple[int, int], set[bytes]] = defaultdict(set)
-        by_length: dict[int, set[int]] = defaultdict(set)
+        self.ids, self.known = ids, {}
+        self.buf, self.start, self.end, self.doc = w.buf, w.start, w.end, w.doc
         at, h = w.windows(window)
         short = np.flatnonzero((w.count > 0) & (w.count < window))
-        found = [(i, window, x) for i, x in zip(at.tolist(), h.tolist(), strict=True)]
-        found += [(int(w.first[d]), int(w.count[d]), x) for d, x in zip(short.tolist(), w.whole(short).tolist(), strict=True)]
-        for i, n, x in found:
-            text = phrase(w, i, n)
-            by_length[n].add(x)
-            self.words[n, x].add(text)
-            self.owners[text].add(ids[w.doc[i]])
-        self.sorted = {n: np.array(sorted(x), np.uint64) for n, x in by_length.items()}
-        self.words, self.owners = dict(self.words), dict(self.owners)
+        size = np.append(np.full(len(at), window), w.count[short])
+        at, h = np.append(at, w.first[short]), np.append(h, w.whole(short))
+        self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in np.unique(size).tolist():
+            own = np.flatnonzero(size == n)
+            own = own[np.argsort(h[own], kind="stable")]
+            self.found[n] = h[own], at[own]
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}}
+
+    def owners(self, n: int, x: int) -> dict[bytes, set[str]]:
+        """The items of each phrase of ``n`` words whose hash is ``x``."""
+        have = self.known.get((n, x))
+        if have is None:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            hashes, at = self.found[n]
+            lo, hi = (np.searchsorted(hashes, np.uint64(x), side) for side in ("left", "right"))
+            have = self.known[n, x] = {}
+            for i in at[lo:hi].tolist():
+                have.setdefault(phrase(self, i, n), set()).add(self.ids[self.doc[i]])
+        return have
 
     def scan(self, texts: list[bytes]) -> tuple[c.Words, np.ndarray, list[set[str]]]:
-        """The texts' words, which of them lie in a window that occurs, and each text's items."""
+        """The words, which of them are hit, and the items that hit each text."""
         w = c.Words(texts, SEPARATORS, FOLD)
         edge = np.zeros(len(w.hash) + 1, np.int32)
         items: list[set[str]] = [set() for _ in texts]
-        for n, known in self.sorted.items():
+        for n, (hashes, _) in self.found.items():
             at, h = w.windows(n)
-            place = np.searchsorted(known, h)
-            hit = np.flatnonzero(known[np.minimum(place, len(known) - 1)] == h)
+            place = np.searchsorted(hashes, h)
+            hit = np.flatnonzero(hashes[np.minimum(place, len(hashes) - 1)] == h)
             for i, x in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
-                text = phrase(w, i, n)
-                if text in self.words[n, x]:
+                owners = self.owners(n, x).get(phrase(w, i, n))
+                if owners:
                     edge[i] += 1
                     edge[i + n] -= 1
-                    items[w.doc[i]] |= self.owners[text]
+                    items[w.doc[i]] |= owners
         return w, np.cumsum(edge[:-1]) > 0, items
 
 
-def phrase(w: c.Words, i: int, n: int) -> bytes:
+def phrase(w: c.Words | Grams, i: int, n: int) -> bytes:
     """Words i to i + n - 1, joined by one space."""
     lo = w.start[i]
     raw = w.buf[lo : w.end[i + n - 1]].tobytes()
@@ -131,9 +150,8 @@ def _pass(docs: DataFrame, grams: Grams) -> DataFrame:
             texts = b.column(1).cast(pa.binary()).to_pylist()
             for lo, hi in _batches(texts):
                 w, mask, items = g.scan([t or b"" for t in texts[lo:hi]])
-                for d, (spans, before) in enumerate(zip(b.column(2).slice(lo, hi - lo).to_pylist(), b.column(3).slice(lo, hi - lo).to_pylist(), strict=True)):
-                    for s in spans or ():
-                        mask[w.first[d] + s["start"] : w.first[d] + s["end"]] = True
+                mask = _marks(w, b.column(2).slice(lo, hi - lo).to_pylist(), mask)
+                for d, before in enumerate(b.column(3).slice(lo, hi - lo).to_pylist()):
                     items[d] |= set(before or ())
                 start, end = c.intervals(mask, w.doc)
                 first = w.first[w.doc[start]] if len(start) else start
@@ -155,33 +173,74 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, mode:
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode is documents or spans, not {mode}")
     at = docs.columns.index("text")
+    if mode == "spans":
+        return _cut_spans(docs, at, benchmark, window, slice_bytes)
     out = docs
     for k, grams in enumerate(_slices(benchmark, window, slice_bytes)):
-        if mode == "spans" and k:
-            raise ValueError("cutting spans needs a benchmark of one slice: a cut would hide what another slice finds; raise slice_bytes")
-        out = (c.materialise(out) if k else out).mapInArrow(_cut(docs.sparkSession.sparkContext.broadcast(grams), at, mode), docs.schema)
+        out = (c.materialise(out) if k else out).mapInArrow(_drop(docs.sparkSession.sparkContext.broadcast(grams), at), docs.schema)
     return out
 
 
-def _cut(shared, at: int, mode: str):
+def _drop(shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(at).cast(pa.binary()).to_pylist()
             for lo, hi in _batches(texts):
                 w, mask, _ = shared.value.scan([t or b"" for t in texts[lo:hi]])
-                hit = np.bincount(w.doc[mask], minlength=hi - lo) > 0
+                yield b.slice(lo, hi - lo).filter(pa.array(np.bincount(w.doc[mask], minlength=hi - lo) == 0))
+
+    return run
+
+
+def _cut_spans(docs: DataFrame, at: int, benchmark: DataFrame, window: int, slice_bytes: int) -> DataFrame:
+    """Slices mark words of the whole text, one after another; what they marked is cut once."""
+    marked = docs.select(F.struct("*").alias("row"), docs["text"].cast("string").alias("text"), F.lit(None).cast(SPANS).alias("spans"))
+    kind = marked.schema
+    for k, grams in enumerate(_slices(benchmark, window, slice_bytes)):
+        marked = (c.materialise(marked) if k else marked).mapInArrow(_mark(docs.sparkSession.sparkContext.broadcast(grams)), kind)
+    return marked.mapInArrow(_cut(at), docs.schema)
+
+
+def _marks(w: c.Words, spans: list, mask: np.ndarray) -> np.ndarray:
+    for d, some in enumerate(spans):
+        for s in some or ():
+            mask[w.first[d] + s["start"] : w.first[d] + s["end"]] = True
+    return mask
+
+
+def _mark(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            for lo, hi in _batches(texts):
+                w, mask, _ = shared.value.scan([t or b"" for t in texts[lo:hi]])
                 part = b.slice(lo, hi - lo)
-                if mode == "documents":
-                    yield part.filter(pa.array(~hit))
-                    continue
-                start, end = c.intervals(mask, w.doc)
-                new = texts[lo:hi]
-                for d in np.flatnonzero(hit).tolist():
-                    own, keep, last = w.doc[start] == d, [], 0
-                    for s, e in zip(w.start[start[own]] - w.begin[d], w.end[end[own] - 1] - w.begin[d], strict=True):
-                        keep.append(new[d][last:s])
-                        last = e
-                    new[d] = b"".join([*keep, new[d][last:]])
-                yield part.set_column(at, part.schema.field(at), pa.array(new, pa.binary()).cast(part.schema.field(at).type))
+                start, end = c.intervals(_marks(w, part.column(2).to_pylist(), mask), w.doc)
+                first = w.first[w.doc[start]] if len(start) else start
+                spans = c.span_lists(start - first, end - first, np.bincount(w.doc[start], minlength=hi - lo))
+                yield pa.record_batch([part.column(0), part.column(1), spans], names=["row", "text", "spans"])
+
+    return run
+
+
+def _cut(at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            for lo, hi in _batches(texts):
+                part = b.slice(lo, hi - lo)
+                w, new = c.Words([t or b"" for t in texts[lo:hi]], SEPARATORS, FOLD), texts[lo:hi]
+                for d, some in enumerate(part.column(2).to_pylist()):
+                    keep, last = [], 0
+                    for s in some or ():
+                        a, z = (int(x) for x in (w.start[w.first[d] + s["start"]] - w.begin[d], w.end[w.first[d] + s["end"] - 1] - w.begin[d]))
+                        keep.append(new[d][last:a])
+                        last = z
+                    if some:
+                        new[d] = b"".join([*keep, new[d][last:]])
+                row = part.column(0)
+                columns = [row.field(k) for k in range(row.type.num_fields)]
+                columns[at] = pa.array(new, pa.binary()).cast(columns[at].type)
+                yield pa.record_batch(columns, names=[row.type.field(k).name for k in range(row.type.num_fields)])
 
     return run

@@ -521,6 +521,10 @@ def test_documents_or_spans_go(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == clean
     cut = decontaminate.decontaminate(docs, df, mode="spans")
     assert cut.count() == len(rows)
+    sliced = decontaminate.decontaminate(docs, df, mode="spans", slice_bytes=500)
+    text = lambda found: collections.Counter((r.doc_id, r.text) for r in found.collect())
+    assert text(sliced) == text(cut) and sliced.columns == docs.columns
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, df, slice_bytes=500).collect()} == clean
     assert {r.doc_id: r.text for r in cut.where(F.col("doc_id").isin(list(clean))).collect()} == {i: t for i, t, *_ in rows if i in clean}
     assert decontaminate.find_contamination(cut, df).where("n_hit > 0").count() == 0
     with pytest.raises(ValueError):
