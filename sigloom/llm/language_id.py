@@ -1,8 +1,8 @@
 """Language ID by nearest centroid: normalised TF-IDF n-gram vectors against several centroids per language.
 
 Fitting takes a bounded sample: at most ``sample_rows`` labelled rows per language, those
-with the smallest hash of doc_id, and at most ``max_languages`` languages (an error beyond,
-never a cut).  Spherical k-means gives each language up to ``clusters`` centroids, and a
+with the smallest hash of doc_id, and at most ``total_rows`` of all languages, dealt in turn,
+languages with fewer than ``PIECES`` rows last.  Spherical k-means gives each language up to ``clusters`` centroids, and a
 document gets the language of the centroid with the largest cosine.  A document too far
 from its nearest centroid is rejected, as is one without a letter.  Prediction scans whole
 texts, shuffles nothing, and sees the text alone.
@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 DIM = 1 << 13
 SAMPLE_ROWS = 200
+#: Rows of the sample over all languages.
+TOTAL_ROWS = 10_000
 SCAN_BYTES = 1 << 20
 #: Rows of the dense count matrix at a time.
 SCAN_ROWS = 256
@@ -146,21 +148,24 @@ def rejection_limits(texts: list[str], x: np.ndarray, owner: np.ndarray, idf: np
     return out
 
 
-def fit(docs: DataFrame, trainable, clusters: int = 3, sample_rows: int = SAMPLE_ROWS, max_languages: int = 500) -> Centroids:
-    """Centroids from a bounded sample of the rows of ``docs`` where ``trainable`` holds and lang is known."""
+def fit(docs: DataFrame, trainable, clusters: int = 3, sample_rows: int = SAMPLE_ROWS, total_rows: int = TOTAL_ROWS) -> Centroids:
+    """Centroids from a bounded sample of the rows of ``docs`` where ``trainable`` holds and lang is known.
+
+    At most ``sample_rows`` rows a language and ``total_rows`` in all, by hash of doc_id:
+    one row of each language, then a second one, and so on, and rare labels after the rest.
+    """
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"), trainable.alias("use"))
     rows = rows.where("use and lang is not null and doc_id is not null")
-    known = rows.select("lang").distinct().limit(max_languages + 1).count()
-    if known > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
     # the smallest hashes per language: only ids are shuffled
     # first per slice of the hash, so that no task sorts a whole language
     ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct().withColumn("slice", F.pmod("h", F.lit(64)))
     for keys in (["lang", "slice"], ["lang"]):
         place = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))
-        ids = ids.withColumn("place", place).where(F.col("place") <= sample_rows).drop("place")
-    ids = ids.select("doc_id", F.col("lang").alias("l"))
-    chosen = rows.join(F.broadcast(ids), "doc_id").where("lang = l").select("lang", "text", "doc_id").dropDuplicates(["lang", "doc_id"])
+        ids = ids.withColumn("place", place).where(F.col("place") <= sample_rows)
+    # labels too rare to measure come last, so that stray ones don't crowd out languages
+    ids = ids.withColumn("rare", F.count("*").over(Window.partitionBy("lang")) < min(PIECES, sample_rows))
+    ids = ids.orderBy("rare", "place", "h", "lang").limit(total_rows).select("doc_id", F.col("lang").alias("l"))
+    chosen = rows.join(F.broadcast(ids), "doc_id").where("lang = l").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     sample = sorted((r.lang, r.doc_id, r.text) for r in chosen.collect() if r.text and has_letter(r.text))
     languages = sorted({x[0] for x in sample}, key=lambda x: x.encode())
     if not languages:
@@ -204,7 +209,7 @@ def _batches(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 def identify(docs: DataFrame, model: Centroids, max_distance: float | None = None) -> DataFrame:
     """doc_id, lang_pred, score and rejected of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM numbers per centroid, at most max_languages * clusters
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM numbers per centroid, for at most TOTAL_ROWS rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -333,8 +333,17 @@ def test_without_labels_everything_is_unknown(spark):
     df = frame(spark, [(1, "the", None, "a")])
     model = language_id.fit(df, F.lit(True))
     assert language_id.identify(df, model).first().lang_pred == "und"
-    with pytest.raises(ValueError):
-        language_id.fit(spoken(spark)[0], F.lit(True), max_languages=2)
+
+
+def test_stray_labels_don_t_crowd_out_languages(spark):
+    df, _, _ = spoken(spark)
+    known = language_id.fit(df, F.lit(True), sample_rows=30)
+    stray = spark.range(600).select((F.col("id") + 100_000).alias("doc_id"), F.lit("some words").alias("text"), F.concat(F.lit("stray"), "id").alias("lang"), F.lit("a").alias("source"))
+    rows = 30 * len(known.languages)
+    found = language_id.fit(df.select(stray.columns).union(stray), F.lit(True), sample_rows=30, total_rows=rows)
+    assert found.languages == known.languages and np.array_equal(found.vectors, known.vectors)
+    more = language_id.fit(df.select(stray.columns).union(stray), F.lit(True), sample_rows=30, total_rows=rows + 50)
+    assert len(more.languages) == len(known.languages) + 50
 
 
 # ---------------------------------------------------------------- 6
