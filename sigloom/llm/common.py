@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 import struct
 import tempfile
 import uuid
@@ -229,6 +230,14 @@ def prefix_sums(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     return wrapped, prime
 
 
+def short_hash(values: np.ndarray, size: int, base: int) -> np.ndarray:
+    """Rabin-Karp hash modulo 2**64 of every ``size`` consecutive values; for a filter, as only short strings are safe."""
+    up, down, _, _ = powers(base, len(values) + 1)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[:-1], out=sums[1:])
+    return mix((sums[size:] - sums[:-size]) * down[: len(sums) - size])
+
+
 def spans_hash(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
     """64 bits of both residues of each span."""
     wrapped, prime = sums
@@ -237,14 +246,42 @@ def spans_hash(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.n
     return (wrapped[end] - wrapped[start]) * down[start] + mix(residue)
 
 
+#: Keeps the first k bytes of a little-endian chunk of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+LONG_WORD = 256
+
+
+def byte_strings(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of raw[start:end] for each span; raw goes on for 8 bytes after the last end.
+
+    Spans are read in chunks of eight bytes, each mixed into what came before, so that no
+    algebra of the bytes makes two strings agree.
+    """
+    raw = np.ascontiguousarray(raw)
+    chunks = np.ndarray((max(0, len(raw) - 7),), "<u8", buffer=raw, strides=(1,))
+    length = end - start
+    h = length.astype(np.uint64) * np.uint64(WORD_BASE)
+    now = np.flatnonzero(length <= LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        now = now[length[now] > k]
+        if not len(now):
+            break
+        piece = chunks[start[now] + k] & _FIRST[np.minimum(length[now] - k, 8)]
+        h[now] = mix(h[now] ^ piece) + np.uint64(BYTE_BASE)
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
+
+
 class Words:
     """Words of some texts: start and end in ``buf``, doc (index of the text) and a 64-bit hash.
 
     ``separators`` marks the bytes that part words; ``fold`` maps bytes before hashing.
     """
 
-    def __init__(self, texts: list[bytes], separators: np.ndarray = SPACES, fold: np.ndarray | None = None, step: int = 1 << 18):
-        raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    def __init__(self, texts: list[bytes], separators: np.ndarray = SPACES, fold: np.ndarray | None = None, step: int = 1 << 15):
+        raw = np.frombuffer(b" " + b" ".join(texts) + b" " * 9, np.uint8)
         lens = np.array([len(t) for t in texts], np.int64)
         self.begin = 1 + np.concatenate([[0], np.cumsum(lens + 1)[:-1]]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
         self.end_of = self.begin + lens
@@ -258,11 +295,7 @@ class Words:
         self.doc = (np.searchsorted(self.begin, self.start, side="right") - 1).astype(np.int32)
         self.hash = np.empty(n, np.uint64)
         for i in range(0, n, step):
-            j = min(n, i + step)
-            lo, hi = self.start[i], self.end[j - 1]
-            s, e = self.start[i:j] - lo, self.end[i:j] - lo
-            h = spans_hash(prefix_sums(_TABLE[raw[lo:hi]], BYTE_BASE), s, e, BYTE_BASE)
-            self.hash[i:j] = mix(h + (e - s).astype(np.uint64) * np.uint64(WORD_BASE))
+            self.hash[i : i + step] = byte_strings(raw, self.start[i : i + step], self.end[i : i + step])
         self.first = np.searchsorted(self.doc, np.arange(len(texts)), side="left")
         self.count = np.searchsorted(self.doc, np.arange(len(texts)), side="right") - self.first
 

@@ -59,9 +59,8 @@ class Runs:
         for d in np.flatnonzero(lens >= min_len).tolist() + [-1]:
             if group and (d < 0 or d != group[-1] + 1 or held + lens[d] > 1 << 20):
                 lo, hi = self.begin[group[0]], self.begin[group[-1] + 1]
-                sums = c.prefix_sums(c._TABLE[self.raw[lo:hi]], c.BYTE_BASE)
                 at = np.arange(hi - lo - GRAM + 1)
-                gram = c.mix(c.spans_hash(sums, at, at + GRAM, c.BYTE_BASE))
+                gram = c.short_hash(c._TABLE[self.raw[lo:hi]], GRAM, c.BYTE_BASE)
                 # smallest by the upper half of the hash, then leftmost; the lower half holds the position
                 least = _sliding_min((gram >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64), min_len - GRAM + 1) & np.uint64(0xFFFFFFFF)
                 doc = np.repeat(np.arange(len(group), dtype=np.int32), lens[group])
