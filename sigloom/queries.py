@@ -111,16 +111,16 @@ def label_counts(spark, sf_dir):
 
 @query(f"""WITH {EV}, r AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS e FROM ev),
 runs AS (SELECT user_id, event_type AS label, t AS begin_s, e AS end_s FROM r WHERE e > t),
-w AS (SELECT user_id, f + i * 3600 AS start_s FROM (SELECT user_id, min(t) AS f, max(t) AS l FROM ev GROUP BY user_id), unnest(range(0, 24)) AS u(i))
+w AS (SELECT user_id, f + i * 3600 AS start_s FROM (SELECT user_id, min(t) AS f, max(t) AS l FROM ev GROUP BY user_id), unnest(range(0, CAST(floor((l - f) / 3600) AS BIGINT) + 1)) AS u(i))
 SELECT w.user_id, round(w.start_s, 6) AS start_s, CASE WHEN min(label) = max(label) AND count(label) = count(*) THEN min(label) END AS label
 FROM w LEFT JOIN runs ON runs.user_id = w.user_id AND begin_s < w.start_s + 3600 AND end_s > w.start_s GROUP BY w.user_id, w.start_s""")
 def window_label_range_join(spark, sf_dir):
-    """Windows against runs of a label track: what an event says holds until the next one."""
+    """Hours of each user's whole span against runs of a label track: what an event says holds until the next one."""
     from pyspark.sql import Window
 
     ev = events(spark, sf_dir)
     runs = ev.withColumn("end_s", F.lead("t").over(Window.partitionBy("user_id").orderBy("t", "event_id"))).where("end_s > t").select("user_id", F.col("event_type").alias("label"), F.col("t").alias("begin_s"), "end_s")
-    starts = ev.groupBy("user_id").agg(F.min("t").alias("f")).select("user_id", "f", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("i")).select("user_id", (F.col("f") + F.col("i") * F.lit(HOUR)).alias("start_s"), F.lit(HOUR).alias("length_s"))
+    starts = ev.groupBy("user_id").agg(F.min("t").alias("f"), F.max("t").alias("l")).select("user_id", "f", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("l") - F.col("f")) / F.lit(HOUR)))).alias("i")).select("user_id", (F.col("f") + F.col("i") * F.lit(HOUR)).alias("start_s"), F.lit(HOUR).alias("length_s"))
     return rounded(windows.label_windows(starts, runs, "user_id").drop("length_s"), "start_s")
 
 

@@ -62,9 +62,9 @@ class FactStore:
         )
 
 
-def fixed_width(rows: DataFrame, columns: list[str], limit: int = 1000) -> str:
-    """A small result as aligned text."""
-    found = [[("-" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)) for v in r] for r in rows.select(*columns).limit(limit).collect()]
+def fixed_width(rows: DataFrame, columns: list[str]) -> str:
+    """A small result, all its rows, as aligned text."""
+    found = [[("-" if v is None else f"{v:.3f}" if isinstance(v, float) else str(v)) for v in r] for r in rows.select(*columns).toLocalIterator()]
     width = [max(len(c), *(len(r[k]) for r in found)) if found else len(c) for k, c in enumerate(columns)]
     lines = ["  ".join(c.rjust(w) for c, w in zip(columns, width, strict=True))]
     return "\n".join(lines + ["  ".join(v.rjust(w) for v, w in zip(r, width, strict=True)) for r in found])

@@ -142,6 +142,10 @@ def test_facts_only_grow(spark, tmp_path):
         facts.append(second.withColumns({"fact_id": F.lit("c"), "reason": F.lit(None).cast("string")}))
 
 
+def test_fixed_width_holds_every_row(spark):
+    assert len(store.fixed_width(spark.range(1500), ["id"]).splitlines()) == 1501
+
+
 def test_fixed_width(spark):
     text = store.fixed_width(spark.createDataFrame([("a", 1.0), ("bb", None)], "name string, v double"), ["name", "v"])
     assert text.splitlines() == ["name      v", "   a  1.000", "  bb      -"]
