@@ -7,6 +7,8 @@ window and aggregates before it moves.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,54 @@ def cut_windows(signals: DataFrame, length: float, stride: float, keys: list[str
     return out.withColumn("samples", F.slice("samples", (F.col("start_sample") + 1).cast("int"), (F.col("end_sample") - F.col("start_sample")).cast("int")))
 
 
+def first_sample_of(signals: DataFrame) -> Column:
+    """Place of a row's first sample in its recording; a row without the column is a whole recording."""
+    return F.coalesce(F.col("first_sample").cast("long"), F.lit(0).cast("long")) if "first_sample" in signals.columns else F.lit(0).cast("long")
+
+
+def cut_spans(signals: DataFrame, wanted: DataFrame, keys: list[str], length: float, span: Callable[[Column, Column], tuple[Column, Column]] | None = None, slot_s: float | None = None) -> DataFrame:
+    """The columns of ``wanted`` (keys, start_s, ...) with signal, rate, samples of every signal that reaches the window's end.
+
+    ``signals`` (keys, signal, rate, samples, and first_sample if a recording comes in several
+    rows) are dealt into slots of ``slot_s`` seconds, each with a halo of one window, and a
+    window is cut from the slot of its start: no task holds more than a slot, and samples
+    move once.  ``span`` gives the sample range of a window from its start and the rate.
+    Where rows overlap the first one counts; samples between rows that are missing are null.
+    """
+    slot_s = float(slot_s or 5 * length)
+    span = span or (lambda start, rate: sample_range(start, F.lit(float(length)), rate))
+    rate, per, halo = F.col("rate"), F.lit(slot_s) * F.col("rate"), F.lit(float(length)) * F.col("rate") + 2
+    rows = signals.select(*keys, "signal", "rate", first_sample_of(signals).alias("_at"), "samples").where("size(samples) > 0")
+    stop = F.col("_at") + F.size("samples")
+    low = F.greatest(F.floor((F.col("_at") - halo) / per) - 1, F.lit(0).cast("long"))
+    dealt = rows.withColumn("_slot", F.explode(F.sequence(low, F.greatest(low, F.floor(stop / per)))))
+    begin = F.greatest(F.floor(F.col("_slot") * per), F.col("_at"))
+    end = F.least(F.ceil((F.col("_slot") + 1) * per + halo), stop)
+    dealt = dealt.withColumn("_begin", begin).withColumn("_end", end).where("_begin < _end")
+    piece = F.struct(F.col("_begin").alias("at"), F.slice("samples", (F.col("_begin") - F.col("_at") + 1).cast("int"), (F.col("_end") - F.col("_begin")).cast("int")).alias("x"))
+    dealt = dealt.select(*keys, "_slot", "signal", "rate", piece.alias("_piece"))
+    # dealt by slot alone, so that neither the aggregation nor the join below moves samples again
+    dealt = dealt.repartition(*keys, "_slot").groupBy(*keys, "_slot", "signal", "rate").agg(F.sort_array(F.collect_list("_piece")).alias("_pieces"))
+    last = F.element_at("_pieces", -1)
+    sizes = F.aggregate("_pieces", F.lit(0).cast("long"), lambda n, p: n + F.size(p["x"]))
+    gapless = last["at"] + F.size(last["x"]) - F.col("_pieces")[0]["at"] == sizes
+    at = F.col("_pieces")[0]["at"]
+
+    def append(x: Column, p: Column) -> Column:
+        gap = p["at"] - at - F.size(x)
+        skip = F.least(F.greatest(-gap, F.lit(0).cast("long")), F.size(p["x"]).cast("long")).cast("int")
+        return F.concat(x, F.array_repeat(F.lit(None).cast("double"), F.greatest(gap, F.lit(0).cast("long")).cast("int")), F.slice(p["x"], skip + 1, F.size(p["x"]) - skip))
+
+    mended = F.aggregate("_pieces", F.array().cast("array<double>"), append)
+    chunks = dealt.select(*keys, "_slot", "signal", "rate", at.alias("_at"), F.when(gapless, F.flatten("_pieces.x")).otherwise(mended).alias("samples"))
+    rest = [n for n in wanted.columns if n not in keys]
+    asked = wanted.groupBy(*keys, F.floor(F.col("start_s") / F.lit(slot_s)).alias("_slot")).agg(F.collect_list(F.struct(*rest)).alias("_wanted"))
+    cut = chunks.join(asked, [*keys, "_slot"]).withColumn("_w", F.explode("_wanted"))
+    first, end = span(F.col("_w.start_s"), rate)
+    cut = cut.withColumn("_first", first - F.col("_at")).withColumn("_end", end - F.col("_at")).where("_first >= 0 and _end <= size(samples)")
+    return cut.select(*keys, *[F.col(f"_w.{n}").alias(n) for n in rest], "signal", "rate", F.slice("samples", (F.col("_first") + 1).cast("int"), (F.col("_end") - F.col("_first")).cast("int")).alias("samples"))
+
+
 def event_windows(events: DataFrame, keys: list[str], at: str, length: float, stride: float) -> DataFrame:
     """``events`` once per sliding window that holds them: window_idx and window_start (seconds).
 

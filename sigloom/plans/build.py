@@ -1,7 +1,8 @@
 """From signals to a feature table: window, label, judge, measure, assemble.
 
 ``signals``: subject_id, device, signal, rate, samples with one row per recording channel
-(accelerometry as ACC_x, ACC_y, ACC_z).  Labels filter before anything is computed, and
+(accelerometry as ACC_x, ACC_y, ACC_z), or several rows with their first_sample, as the
+readers give them.  Labels filter before anything is computed, and
 each channel is cut once.  Statistics run as expressions; pulse, electrocardiogram and
 respiration go through one Arrow stage that judges and measures together.
 """
@@ -24,14 +25,11 @@ def _labelled(signals: DataFrame, runs: DataFrame, length: float, stride: float)
     The windows of a subject are numbered, labelled by a range join without samples, and
     only then cut out of the signals.
     """
-    spans = signals.groupBy("subject_id", "device").agg(F.min(F.size("samples") / F.col("rate")).alias("duration"))
+    ends = signals.groupBy("subject_id", "device", "signal").agg(F.max((windows.first_sample_of(signals) + F.size("samples")) / F.col("rate")).alias("end"))
+    spans = ends.groupBy("subject_id", "device").agg(F.min("end").alias("duration"))
     starts = spans.select("subject_id", "device", F.explode(windows.sliding_starts(F.col("duration"), length, stride)).alias("start_s")).withColumn("length_s", F.lit(float(length)))
     named = windows.label_windows(starts, runs, "subject_id").where("label is not null")
-    wanted = named.groupBy("subject_id", "device").agg(F.sort_array(F.collect_list(F.struct("start_s", "label"))).alias("wanted"))
-    cut = signals.join(wanted, ["subject_id", "device"]).withColumn("w", F.explode("wanted"))
-    first, end = windows.sample_range(F.col("w.start_s"), F.lit(float(length)), F.col("rate"))
-    cut = cut.withColumn("first", first).withColumn("end", end).where(F.col("end") <= F.size("samples"))
-    return cut.select("subject_id", "device", F.col("w.start_s").alias("start_s"), F.col("w.label").alias("label"), "signal", "rate", F.slice("samples", (F.col("first") + 1).cast("int"), (F.col("end") - F.col("first")).cast("int")).alias("samples"))
+    return windows.cut_spans(signals, named.select("subject_id", "device", "start_s", "label"), ["subject_id", "device"], length)
 
 
 def _long(df: DataFrame, codes: Column, policy: quality.Policy, values: Column, names: tuple[str, ...], signal: str, prefix: str = "") -> DataFrame:
@@ -121,12 +119,13 @@ def feature_table(long: DataFrame, min_coverage: float = 0.9) -> tuple[DataFrame
 
 
 def sleep_epochs(signals: DataFrame, hypnogram: DataFrame, epoch: float = 30.0) -> DataFrame:
-    """Scored epochs of each channel of a night: signals (subject_id, night, signal, rate, samples) cut by hypnogram rows."""
-    scored = hypnogram.where("stage is not null").groupBy("subject_id", "night").agg(F.sort_array(F.collect_list(F.struct("epoch_idx", "stage"))).alias("scored"))
-    cut = signals.join(scored, ["subject_id", "night"]).withColumn("e", F.explode("scored"))
-    first = F.bround(F.col("e.epoch_idx") * F.lit(epoch) * F.col("rate")).cast("long")
-    end = F.bround((F.col("e.epoch_idx") + 1) * F.lit(epoch) * F.col("rate")).cast("long")
-    cut = cut.withColumn("first", first).withColumn("end", end).where(F.col("end") <= F.size("samples"))
+    """Scored epochs of each channel of a night: signals (subject_id, night, signal, rate, samples, maybe first_sample) cut by hypnogram rows."""
+
+    def span(start: Column, rate: Column) -> tuple[Column, Column]:
+        return F.bround(start * rate).cast("long"), F.bround((start + F.lit(epoch)) * rate).cast("long")
+
+    scored = hypnogram.where("stage is not null").select("subject_id", "night", (F.col("epoch_idx") * F.lit(epoch)).alias("start_s"), F.col("stage").alias("label"))
+    cut = windows.cut_spans(signals, scored, ["subject_id", "night"], epoch, span)
     # nights are a day apart, so that time orders a subject's epochs
-    start = F.col("night") * F.lit(86_400.0) + F.col("e.epoch_idx") * F.lit(epoch)
-    return cut.select("subject_id", F.col("night").cast("string").alias("device"), start.alias("start_s"), F.col("e.stage").alias("label"), "signal", "rate", F.slice("samples", (F.col("first") + 1).cast("int"), (F.col("end") - F.col("first")).cast("int")).alias("samples"))
+    start = F.col("night") * F.lit(86_400.0) + F.col("start_s")
+    return cut.select("subject_id", F.col("night").cast("string").alias("device"), start.alias("start_s"), "label", "signal", "rate", "samples")

@@ -58,7 +58,8 @@ def hypnograms(annotations: DataFrame) -> DataFrame:
 def trimmed_nights(signals: DataFrame, hypnogram: DataFrame, margin_epochs: int = 60) -> tuple[DataFrame, DataFrame]:
     """Signals and hypnogram of each night, cut to its sleep and ``margin_epochs`` on both sides.
 
-    ``signals``: subject_id, night, signal, rate, start_time, samples.  Start times move by
+    ``signals``: subject_id, night, signal, rate, start_time, samples, and first_sample if a
+    night comes in several rows (those outside the cut are left out).  Start times move by
     what is cut off; a night without a date starts in 1970, never now.  Nights without sleep
     stay whole; epochs are numbered again from 0.
     """
@@ -66,9 +67,15 @@ def trimmed_nights(signals: DataFrame, hypnogram: DataFrame, margin_epochs: int
     kept = windows.trim_sleep(hypnogram, keys, margin_epochs)
     span = kept.groupBy(*keys).agg(F.min("epoch_idx").alias("_lo"), F.max("epoch_idx").alias("_hi"))
     out = signals.join(span, keys)
-    first = F.bround(F.col("_lo") * F.lit(EPOCH_SECONDS) * F.col("rate")).cast("int")
-    end = F.bround((F.col("_hi") + 1) * F.lit(EPOCH_SECONDS) * F.col("rate")).cast("int")
+    first = F.bround(F.col("_lo") * F.lit(EPOCH_SECONDS) * F.col("rate")).cast("long")
+    end = F.bround((F.col("_hi") + 1) * F.lit(EPOCH_SECONDS) * F.col("rate")).cast("long")
+    at = windows.first_sample_of(signals)
+    begin, stop = F.greatest(first - at, F.lit(0).cast("long")), F.least(end - at, F.size("samples").cast("long"))
     start = F.coalesce("start_time", F.timestamp_seconds(F.lit(0))) + F.make_dt_interval(secs=F.col("_lo") * F.lit(EPOCH_SECONDS))
-    out = out.withColumn("samples", F.slice("samples", first + 1, F.greatest(end - first, F.lit(0)))).withColumn("start_time", start).drop("_lo", "_hi")
+    if "first_sample" in signals.columns:
+        out = out.where(begin < stop).withColumns({"first_sample": F.greatest(at - first, F.lit(0).cast("long")), "samples": F.slice("samples", (begin + 1).cast("int"), (stop - begin).cast("int"))})
+    else:
+        out = out.withColumn("samples", F.slice("samples", (first + 1).cast("int"), F.greatest(end - first, F.lit(0)).cast("int")))
+    out = out.withColumn("start_time", start).drop("_lo", "_hi")
     renumbered = kept.join(span, keys).withColumn("epoch_idx", F.col("epoch_idx") - F.col("_lo")).drop("_lo", "_hi")
     return out, renumbered
