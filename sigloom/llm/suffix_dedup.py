@@ -9,9 +9,9 @@
    that a third of all documents hold travels once per block.  Runs of a minimizer that
    occurs more than ``hot`` times are cut into single windows, spread by their own hash.
 3. Each range sorts the suffixes that start a window (prefix doubling to ``min_len``
-   bytes).  Where neighbours in suffix order share ``min_len`` bytes, the previous and the
-   next smaller position give the longest previous factor: a window with either has an
-   earlier match and is removed; the first copy has neither and stays.
+   bytes).  The previous and the next smaller position in suffix order, and the common
+   prefixes with them, give the array of longest previous factors; a window whose factor
+   reaches ``min_len`` has an earlier match and is removed, the first copy stays.
 4. Removed windows merge into intervals per document.
 
 Equal segments are recognised by length and 64-bit hash; suffixes are compared byte by byte.
@@ -108,31 +108,94 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     return c.distinct(keys)[3].astype(np.uint64)
 
 
-def repeated_suffixes(raw: np.ndarray, at: np.ndarray, min_len: int) -> np.ndarray:
-    """For suffixes at ``at`` (in text order): whether the longest previous factor reaches ``min_len``.
+def smaller_before(v: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """Index of the nearest smaller value before each one; -1 where there is none.
 
-    Ranks double from 8 bytes on; ``at`` needs ``min_len`` bytes each.  Suffixes of one
-    rank share ``min_len`` bytes; in suffix order they are neighbours, and position is
-    order in ``at``.
+    Each entry follows its left neighbours' answers; what is still open after ``rounds``
+    climbs a tree of block minima, so that no order of values costs more than a logarithm.
     """
+    out = np.arange(len(v)) - 1
+    todo = np.flatnonzero(out >= 0)
+    for _ in range(rounds):
+        todo = todo[v[out[todo]] > v[todo]]
+        if not len(todo):
+            return out
+        out[todo] = out[out[todo]]
+        todo = todo[out[todo] >= 0]
+    most = np.iinfo(v.dtype).max
+    levels = [v]
+    while len(levels[-1]) > 1:
+        low = levels[-1] if len(levels[-1]) % 2 == 0 else np.append(levels[-1], most)
+        levels.append(np.minimum(low[::2], low[1::2]))
+    block, depth, least = out[todo], np.zeros(len(todo), np.int64), v[todo]
+    up = np.arange(len(todo))
+    for t, low in enumerate(levels):
+        up = up[low[block[up]] > least[up]]
+        odd = up[block[up] % 2 == 1]
+        block[odd] -= 1  # the left sibling may hold one; else neither does
+        here = odd[low[block[odd]] < least[odd]]
+        depth[here] = t
+        up = np.setdiff1d(up, here, assume_unique=True)
+        block[up] = block[up] // 2 - 1
+        depth[up] = t + 1
+        up = up[block[up] >= 0]
+        if not len(up):
+            break
+    for t in range(len(levels) - 1, 0, -1):
+        down = np.flatnonzero((depth == t) & (block >= 0))
+        low = levels[t - 1]
+        right = np.minimum(2 * block[down] + 1, len(low) - 1)
+        block[down] = np.where(low[right] < least[down], right, 2 * block[down])
+        depth[down] = t - 1
+    out[todo] = np.where(block < 0, -1, block)
+    return out
+
+
+def smaller_after(v: np.ndarray) -> np.ndarray:
+    """Index of the nearest smaller value after each one; ``len(v)`` where there is none."""
+    return len(v) - 1 - smaller_before(v[::-1])[::-1]
+
+
+def longest_previous_factors(raw: np.ndarray, at: np.ndarray, min_len: int) -> np.ndarray:
+    """For suffixes at ``at`` (in text order): the longest match with an earlier one of them, ``min_len`` at most.
+
+    Ranks double from 8 bytes on and order the suffixes by ``min_len`` bytes, which each
+    needs to have, then by position.  An entry that shares them all with its neighbour
+    before has there its previous smaller position, and a longest factor that nothing
+    exceeds.  The others, one for each distinct prefix, have the nearest smaller positions
+    before and after in suffix order; the longer of the two common prefixes is the factor.
+    """
+    if not len(at):
+        return np.zeros(0, np.int64)
     pad = np.append(raw, np.zeros(8, np.uint8))
     word = np.zeros(len(raw), np.uint64)
     for k in range(8):
         word = (word << np.uint64(8)) | pad[k : len(raw) + k]
     rank, depth = _dense(word), 8
+    ranks = [(8, rank.astype(np.uint32))]
     while depth * 2 <= min_len:
         step = np.append(rank[depth:], np.zeros(min(depth, len(rank)), np.uint64))[: len(rank)]
         rank, depth = _dense((rank << np.uint64(32)) | step), depth * 2
+        ranks.append((depth, rank.astype(np.uint32)))
     key = (rank[at] << np.uint64(32)) | rank[at + min_len - depth]
+    del rank
     order = np.argsort(key, kind="stable")  # suffix array to that depth; equal prefixes by position
-    shared = np.append(key[order][1:] == key[order][:-1], False)  # lcp with the next reaches min_len
-    run = np.cumsum(np.append(0, ~shared[:-1])) if len(order) else order
-    first = np.flatnonzero(np.append(True, ~shared[:-1])) if len(order) else order
-    # A run is where the lcp stays at min_len, so a smaller position before or after it in
-    # suffix order counts only inside the run: there is one unless this is its smallest.
-    smallest = np.minimum.reduceat(order, first) if len(order) else order
-    out = np.empty(len(at), bool)
-    out[order] = order > smallest[run]
+    sorted_key = key[order]
+    first = np.flatnonzero(np.append(True, sorted_key[1:] != sorted_key[:-1]))
+    del key, sorted_key
+    out = np.full(len(at), min_len)
+    least = order[first]  # smallest position of each distinct prefix
+    out[least] = 0
+    for other, none in ((smaller_before(least), -1), (smaller_after(least), len(least))):
+        has = np.flatnonzero(other != none)
+        a, b = at[least[has]], at[least[other[has]]]
+        common = np.zeros(len(has), np.int64)
+        for d, r in reversed(ranks):
+            common += d * (r[a + common] == r[b + common])
+        differ = word[a + common] ^ word[b + common]
+        for k in range(1, 8):
+            common += differ >> np.uint64(64 - 8 * k) == 0
+        out[least[has]] = np.maximum(out[least[has]], common)
     return out
 
 
@@ -231,7 +294,7 @@ def remove_repeated_bytes(docs: DataFrame, min_len: int = 100, hot: int = 50_000
             text = gather(raw, place[left], length[left])
             ends = np.cumsum(length[left])
             at = gather(np.arange(len(text), dtype=np.int32), ends - length[left], size[left]).astype(np.int64)
-            hit = np.flatnonzero(repeated_suffixes(text, at, min_len))
+            hit = np.flatnonzero(longest_previous_factors(text, at, min_len) >= min_len)
             seg = np.repeat(np.arange(len(left)), size[left])
             inside = at - np.repeat(ends - length[left], size[left])
             where = start[left][seg[hit]] + inside[hit]

@@ -94,15 +94,32 @@ def test_bytes_that_repeat_go(spark):
         assert {r.doc_id: (r.n_bytes, r.n_removed, bytes(r.kept)) for r in got} == want
 
 
-def test_longest_previous_factors_reach_the_length():
-    raw = np.frombuffer(b"".join(random.Random(1).choice([b"abab", b"xyz"]) for _ in range(300)), np.uint8)
-    at = np.arange(len(raw) - 64)
-    seen, want = set(), []
-    for k in at:
-        s = raw[k : k + 64].tobytes()
-        want.append(s in seen)
-        seen.add(s)
-    assert suffix_dedup.repeated_suffixes(raw, at, 64).tolist() == want
+def shared(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a))
+
+
+@pytest.mark.parametrize("min_len", [64, 100, 130])
+def test_longest_previous_factors_against_all_pairs(min_len):
+    rng = random.Random(min_len)
+    text = b"".join(rng.choice([b"abab", b"xyz", b"abababababababababab" * 4, bytes([rng.randrange(256)])]) for _ in range(90))
+    raw = np.frombuffer(text, np.uint8)
+    for at in (np.arange(len(raw) - min_len + 1), np.array(sorted(rng.sample(range(len(raw) - min_len + 1), 150)))):
+        cut = [text[k : k + min_len] for k in at]
+        want = [max((shared(cut[j], cut[i]) for j in range(i)), default=0) for i in range(len(cut))]
+        assert suffix_dedup.longest_previous_factors(raw, at, min_len).tolist() == want
+    assert not len(suffix_dedup.longest_previous_factors(raw, at[:0], min_len))
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 2, 12])
+def test_nearest_smaller_values_of_any_order(rounds):
+    rng = np.random.default_rng(rounds)
+    for n in (0, 1, 2, 3, 17, 64, 100, 129):
+        ramp = np.arange(n)
+        for v in (ramp, ramp[::-1].copy(), rng.permutation(n), np.append(ramp[1:], ramp[:1]), np.concatenate([ramp[::2], ramp[1::2]])):
+            want = [next((j for j in range(i - 1, -1, -1) if v[j] < v[i]), -1) for i in range(n)]
+            assert suffix_dedup.smaller_before(v, rounds).tolist() == want
+            want = [next((j for j in range(i + 1, n) if v[j] < v[i]), n) for i in range(n)]
+            assert suffix_dedup.smaller_after(v).tolist() == want
 
 
 # ---------------------------------------------------------------- 2
