@@ -10,7 +10,8 @@ similarity of their sets reaches a threshold, compared in whole numbers.
 3. Partners share an n-gram of their prefixes (the first n - ceil(t n) + 1 in global
    order).  Representatives that prefixes connect, directly or through others, form a
    candidate group; no pairs are emitted for that.
-4. A group is dealt into parts of ``PART`` representatives and pairs of parts are joined:
+4. A group is dealt into parts of about ``PART`` representatives, fewer where they hold
+   more than ``PART_TOKENS`` n-grams, and pairs of parts are joined:
    the global order below them is cut into fragments, each fragment's partial overlaps
    are counted on their own (a product of two 0/1 matrices), and the fragments' counts are
    summed per pair.  Every part first meets itself and the group's first part; then only
@@ -41,8 +42,12 @@ from . import common as c
 from .components import connected_components
 
 PART = 512
+#: N-grams in one part; one document may hold more.
+PART_TOKENS = 4 << 20
 #: Distinct n-grams in one fragment of the global order, within one join.
 FRAGMENT = 4096
+#: N-grams, repeats counted, that one join ranks at a time.
+ENTRIES = 1 << 20
 DOC_SCHEMA = "row_id long, doc_id long, n_shingles long, sig_a long, sig_b long, n_prefix int, text_md5 string, tokens array<long>"
 LINK_SCHEMA = "a long, b long"
 
@@ -65,31 +70,43 @@ def needed(n, percent: int):
     return -(-percent * n // 100)
 
 
-def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, fragment: int = FRAGMENT) -> np.ndarray:
-    """Sizes of the intersections of the left sets with the right sets, fragment by fragment of the common order."""
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, fragment: int = FRAGMENT, entries: int = ENTRIES) -> np.ndarray:
+    """Sizes of the intersections of the left sets with the right sets, fragment by fragment of the common order.
+
+    Only about ``entries`` n-grams, those of one range of hashes, are ranked at a time.
+    """
     which = np.unique(np.concatenate([left, right]))
     place = np.full(len(sets), -1)
     place[which] = np.arange(len(which))
-    tokens = np.concatenate([sets[i] for i in which])
-    owner = np.repeat(np.arange(len(which)), [len(sets[i]) for i in which])
-    names, order, runs, index = c.distinct(tokens)
+    held = [np.sort(sets[i]) for i in which]
+    starts = c.range_starts(sum(map(len, held)) // entries + 1)
+    cuts = [np.append(np.searchsorted(x, starts), len(x)) for x in held]
+    total = np.zeros((len(left), len(right)), np.float32)
+    same = np.array_equal(left, right)
+    for k in range(len(starts)):
+        pieces = [x[cut[k] : cut[k + 1]] for x, cut in zip(held, cuts, strict=True)]
+        tokens, owner = _shared(pieces)
+        top = int(tokens[-1]) + 1 if len(tokens) else 0
+        for lo in range(0, top, fragment):
+            i, j = np.searchsorted(tokens, [lo, lo + fragment])
+            segment = np.zeros((len(which), min(fragment, top - lo)), np.float32)
+            segment[owner[i:j], tokens[i:j] - lo] = 1
+            a = segment[place[left]]
+            total += a @ (a if same else segment[place[right]]).T
+    return total
+
+
+def _shared(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of the n-gram, set) of the n-grams that several sets hold, by rank."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    names, order, runs, index = c.distinct(np.concatenate(sets))
     times = np.bincount(index, minlength=len(names))
     # what one set alone holds overlaps with nothing
     use = times[index] > 1
     ids = np.cumsum(times > 1) - 1
     tokens, owner = ids[index[use]], owner[use]
     by = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[by], owner[by]
-    total = np.zeros((len(left), len(right)), np.float32)
-    top = int(tokens[-1]) + 1 if len(tokens) else 0
-    same = np.array_equal(left, right)
-    for lo in range(0, top, fragment):
-        i, j = np.searchsorted(tokens, [lo, lo + fragment])
-        segment = np.zeros((len(which), min(fragment, top - lo)), np.float32)
-        segment[owner[i:j], tokens[i:j] - lo] = 1
-        a = segment[place[left]]
-        total += a @ (a if same else segment[place[right]]).T
-    return total
+    return tokens[by], owner[by]
 
 
 def _roots(parent: np.ndarray) -> np.ndarray:
@@ -126,11 +143,12 @@ def _join_parts(percent: int):
     """Links between the rows of side 0 and of side 1 (3: both) of one pair of parts."""
 
     def run(table: pa.Table) -> pa.Table:
+        c.lean()
         ids = table.column("rep").to_numpy()
         size = table.column("n_shingles").to_numpy()
         side = table.column("side").to_numpy()
         component = table.column("component").to_numpy()
-        sets = [x.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for x in table.column("tokens")]
+        sets = [x.values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64) for x in table.column("tokens")]
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         found: list[tuple[int, int]] = []
         if len(left) and len(right):
@@ -192,14 +210,18 @@ def _sets_table(docs: DataFrame, n: int, percent: int, block_bytes: int) -> Data
     return c.materialise(c.answer_blocks(blocks, counts, finish, DOC_SCHEMA))
 
 
-def _links(sets: DataFrame, reps: DataFrame, percent: int, part: int) -> DataFrame:
-    """Links (a, b) between representatives (rep: a row_id of ``sets``) that connect all whose sets are similar."""
+def _links(sets: DataFrame, reps: DataFrame, percent: int, part: int, part_tokens: int) -> DataFrame:
+    """Links (a, b) between representatives (rep: a row_id of ``sets``, n_tokens) that connect all whose sets are similar."""
+
+    def dealt(count, tokens):
+        return F.greatest(F.ceil(count / part), F.ceil(tokens / part_tokens)).cast("int")
+
     prefix = sets.where("tokens is not null").select("row_id", F.expr("slice(tokens, 1, n_prefix)").alias("prefix"))
     prefix = prefix.join(reps, F.col("row_id") == F.col("rep")).select("rep", F.explode("prefix").alias("token"))
     hubs = prefix.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("token", "hub")
     near = prefix.join(hubs, "token").select("rep", "hub").distinct()
-    groups = connected_components(near, "rep", "hub").select(F.col("node").alias("rep"), F.col("component").alias("group"))
-    parts = groups.groupBy("group").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    groups = connected_components(near, "rep", "hub").select(F.col("node").alias("rep"), F.col("component").alias("group")).join(reps, "rep")
+    parts = groups.groupBy("group").agg(dealt(F.count("*"), F.sum("n_tokens")).alias("parts"))
     groups = groups.join(parts, "group").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # the one shuffle of whole sets, and only of those that have a candidate
     members = c.materialise(sets.select("row_id", "n_shingles", "tokens").join(groups, F.col("row_id") == F.col("rep")).drop("row_id"))
@@ -213,9 +235,10 @@ def _links(sets: DataFrame, reps: DataFrame, percent: int, part: int) -> DataFra
     # of the large groups, what is outside the largest component meets everything
     joined = connected_components(first, "a", "b")
     state = large.join(joined, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-    counts = state.groupBy("group", "component").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("group").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), (F.sum("n") - F.max("n")).alias("outside"))
-    state = c.materialise(state.join(largest.where("outside > 0"), "group").withColumn("queries", F.ceil(F.col("outside") / part).cast("int")))
+    counts = state.groupBy("group", "component").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"))
+    top = F.struct("n", "component")
+    largest = counts.groupBy("group").agg(F.max_by("component", top).alias("largest"), (F.sum("n") - F.max("n")).alias("outside"), (F.sum("tokens") - F.max_by("tokens", top)).alias("outside_tokens"))
+    state = c.materialise(state.join(largest.where("outside > 0"), "group").withColumn("queries", dealt(F.col("outside"), F.col("outside_tokens"))))
     columns = ["group", "query", "other", "rep", "n_shingles", "tokens", "component", "side"]
     left = state.where("component != largest").withColumn("query", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("queries")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(0)).select(columns)
@@ -225,13 +248,13 @@ def _links(sets: DataFrame, reps: DataFrame, percent: int, part: int) -> DataFra
     return first.union(second)
 
 
-def _placed(docs: DataFrame, n: int, percent: int, block_bytes: int, part: int) -> DataFrame:
+def _placed(docs: DataFrame, n: int, percent: int, block_bytes: int, part: int, part_tokens: int = PART_TOKENS) -> DataFrame:
     """doc_id, n_shingles, text_md5, root and component_id of every document; root is null where nothing can link."""
     sets = _sets_table(docs, n, percent, block_bytes)
     named = sets.withColumn("name", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    classes = named.where("n_prefix > 0").groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("row_id").alias("rep"), F.min("name").alias("least"))
+    classes = named.where("n_prefix > 0").groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("row_id").alias("rep"), F.min("name").alias("least"), F.max(F.size("tokens")).alias("n_tokens"))
     classes = c.materialise(classes)
-    links = c.materialise(_links(sets, classes.select("rep"), percent, part))
+    links = c.materialise(_links(sets, classes.select("rep", "n_tokens"), percent, part, part_tokens))
     joined = connected_components(links, "a", "b")
     # a class's component is named by the smallest doc_id in it
     placed = classes.select("rep", "least", F.col("sig_a").alias("c_a"), F.col("sig_b").alias("c_b"), F.col("n_shingles").alias("c_n")).join(joined, F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("component", "rep"))
@@ -242,12 +265,12 @@ def _placed(docs: DataFrame, n: int, percent: int, block_bytes: int, part: int)
     return found.select("doc_id", "n_shingles", "text_md5", "root", F.when(F.col("component_id") < (1 << 63) - 1, F.col("component_id")).alias("component_id")).union(rest)
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block_bytes: int = c.BLOCK_BYTES, part: int = PART) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, block_bytes: int = c.BLOCK_BYTES, part: int = PART, part_tokens: int = PART_TOKENS) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id that links reach) of every document.
 
     Two documents link when 100 * intersection >= ``percent`` * union of their n-gram sets.
     """
-    return _placed(docs, n, percent, block_bytes, part).select("doc_id", "n_shingles", "component_id")
+    return _placed(docs, n, percent, block_bytes, part, part_tokens).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one_per_component(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -276,6 +277,44 @@ def test_overlaps_add_up_over_fragments():
     assert got.tolist() == [[len(np.intersect1d(sets[a], sets[b])) for b in right] for a in left]
 
 
+def test_overlaps_add_up_over_ranges_of_hashes():
+    rng = np.random.default_rng(10)
+    names = rng.integers(0, 1 << 64, 60, dtype=np.uint64)
+    sets = [rng.choice(names, size, replace=False) for size in (30, 0, 1, 60, 25, 40)]
+    left, right = np.array([0, 1, 3]), np.array([5, 2, 4])
+    got = jaccard_join.overlaps(sets, left, right, fragment=7, entries=11)
+    assert got.tolist() == [[len(np.intersect1d(sets[a], sets[b])) for b in right] for a in left]
+
+
+def test_a_join_of_long_documents_holds_little_beside_them():
+    rng = np.random.default_rng(11)
+    sets = [rng.permutation(rng.integers(0, 1 << 64, 50_000, dtype=np.uint64)) for _ in range(4)] * 20
+    every = np.arange(len(sets))
+    tracemalloc.start()
+    got = jaccard_join.overlaps(sets, every, every)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [[50_000 * (a % 4 == b % 4) for b in every] for a in every]
+    # 32 MB of n-grams; they were 80 bytes each in the join
+    assert peak < 5 * sum(x.nbytes for x in sets)
+
+
+def test_groups_of_long_documents_are_dealt_by_ngrams(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(36):
+        if i % 12 == 0:
+            words = [f"q{i}_{k}" for k in range(100 + 20 * i)]
+        words = list(words)
+        for k in rng.sample(range(len(words)), 2):
+            words[k] = f"e{i}_{k}"
+        rows.append((i, " ".join(words), "en", "a"))
+    want = plain_components(rows, 4, 85)
+    for part_tokens in (300, 2000):
+        got = jaccard_join.jaccard_components(frame(spark, rows), 4, 85, part_tokens=part_tokens).collect()
+        assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
 def test_one_of_each_group_stays(spark):
     df = frame(spark, corpus(7)).withColumn("n_chars", F.lit(1))
     kept = jaccard_join.keep_one_per_component(df, 5, 80)
