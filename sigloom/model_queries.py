@@ -122,7 +122,8 @@ def spectral_measures(spark, sf_dir):
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema = read(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # a pattern, as a stream takes no path of a single file; it finds a folder of files as well
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 @query("""SELECT user_id, CAST(floor(epoch_us(ts) / 1e6 / 86400) AS BIGINT) AS day, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL""")

@@ -7,6 +7,7 @@ of state per key.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,13 +70,24 @@ def runs(events: DataFrame, key: str, at: str, label: str, late: str) -> DataFra
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that a bounded stream gives, as a table in memory (for tests and small inputs)."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    shared = stream.sparkSession.sparkContext.getCheckpointDir()
-    if shared and mode == "complete":  # the state's folder; memory in append mode cannot recover from one
-        writer = writer.option("checkpointLocation", f"{shared}/stream-{name}")
-    writer.start().awaitTermination()
-    return stream.sparkSession.table(name)
+    """All that a bounded stream gives, as a table in a Parquet folder beside the shared checkpoints.
+
+    The executors write the rows; none pass through the driver.  In complete mode a batch
+    replaces what the batch before it wrote.
+    """
+    spark = stream.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt"))
+    path, checkpoint = (f"{sc.getCheckpointDir()}/{kind}-{name}" for kind in ("rows", "stream"))
+    if mode == "append":
+        to_store(stream, path, checkpoint).awaitTermination()
+    else:
+        nothing = spark.range(0).select(*[F.lit(None).cast(c.dataType).alias(c.name) for c in stream.schema])
+        nothing.write.parquet(path)  # what a stream without a batch gives
+        kept = stream.writeStream.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path))
+        kept.option("checkpointLocation", checkpoint).queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def to_store(stream: DataFrame, path: str, checkpoint: str):
