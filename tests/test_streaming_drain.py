@@ -40,3 +40,7 @@ def test_a_table_in_several_files_is_read(spark, sf_dir, tmp_path, name):
     queries.read(spark, sf_dir, "events").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     want, got = (getattr(model_queries, name)(spark, d).agg(F.count("*"), F.sum("n")).first() for d in (sf_dir, str(tmp_path)))
     assert got == want and got[1] == queries.read(spark, sf_dir, "events").count()
+
+
+def test_tumbling_days_do_not_pass_through_the_driver(spark, sf_dir):
+    assert model_queries.streaming_tumbling(spark, sf_dir).inputFiles()
