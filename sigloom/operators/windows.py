@@ -137,6 +137,31 @@ def label_windows(windows: DataFrame, runs: DataFrame, key: str, broadcast: bool
     return joined.groupBy(*windows.columns).agg(unanimous("_label").alias("label"))
 
 
+def label_epochs(rows: DataFrame, key: str, at: str, order: list[Column], label: str, length: float) -> DataFrame:
+    """key, start_s, label of every epoch of ``length`` from a key's first row to its last.
+
+    What a row says holds until the next one, in ``order`` (which begins with ``at``); an
+    epoch has the unanimous label of what it touches, as in ``label_windows``.  Rows in a
+    row that say the same are one stretch, and the stretch in which an epoch starts knows
+    when the next one begins: nothing is joined, and no epoch is sorted or kept.
+    """
+    frame, whole = Window.partitionBy(key).orderBy(*order), Window.partitionBy(key)
+    here, until, first, last, start, step = F.col(at), F.col("_until"), F.col("_first"), F.col("_last"), F.col("start_s"), F.lit(float(length))
+    rows = rows.where(here.isNotNull()).withColumns({"_until": F.lead(at).over(frame), "_first": F.min(at).over(whole), "_last": F.max(at).over(whole)})
+    rows = rows.where(until.isNull() | (until > here))  # the last row stays: an epoch that starts with it touches nothing
+    before = F.lag(F.struct(F.col(label).alias("label"))).over(frame)
+    rows = rows.withColumn("_new", until.isNull() | before.isNull() | ~F.col(label).eqNullSafe(before["label"]))
+    rows = rows.where("_new").withColumn("_until", F.lead(at).over(frame))
+    final = F.floor((last - first) / step)
+    low = F.greatest(F.floor((here - first) / step), F.lit(0).cast("long"))
+    high = F.least(F.coalesce(F.floor((until - first) / step) + 1, final), final)
+    numbers = F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+    epochs = rows.withColumn("_i", F.explode(numbers)).withColumn("start_s", first + F.col("_i") * step)
+    epochs = epochs.where((start >= here) & (until.isNull() | (start < until)))
+    alone = F.col(key).isNotNull() & ((until >= start + step) | (until == last))
+    return epochs.select(key, "start_s", F.when(alone, F.col(label)).alias("label"))
+
+
 def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy(F.coalesce(F.col(label), F.lit("unlabelled")).alias("label")).agg(F.count("*").alias("n"))
 

@@ -116,12 +116,8 @@ SELECT w.user_id, round(w.start_s, 6) AS start_s, CASE WHEN min(label) = max(lab
 FROM w LEFT JOIN runs ON runs.user_id = w.user_id AND begin_s < w.start_s + 3600 AND end_s > w.start_s GROUP BY w.user_id, w.start_s""")
 def window_label_range_join(spark, sf_dir):
     """Hours of each user's whole span against runs of a label track: what an event says holds until the next one."""
-    from pyspark.sql import Window
-
-    ev = events(spark, sf_dir)
-    runs = ev.withColumn("end_s", F.lead("t").over(Window.partitionBy("user_id").orderBy("t", "event_id"))).where("end_s > t").select("user_id", F.col("event_type").alias("label"), F.col("t").alias("begin_s"), "end_s")
-    starts = ev.groupBy("user_id").agg(F.min("t").alias("f"), F.max("t").alias("l")).select("user_id", "f", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("l") - F.col("f")) / F.lit(HOUR)))).alias("i")).select("user_id", (F.col("f") + F.col("i") * F.lit(HOUR)).alias("start_s"), F.lit(HOUR).alias("length_s"))
-    return rounded(windows.label_windows(starts, runs, "user_id").drop("length_s"), "start_s")
+    order = [F.col("t"), F.col("event_id").asc_nulls_last()]
+    return rounded(windows.label_epochs(events(spark, sf_dir), "user_id", "t", order, "event_type", HOUR), "start_s")
 
 
 @query("""SELECT CAST(n_nationkey AS BIGINT) AS nation, i AS idx, CAST(round_even(i * (n_nationkey + 0.5), 0) AS BIGINT) AS start_sample,
