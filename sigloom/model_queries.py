@@ -35,7 +35,9 @@ def by_subject(model: str, spark: SparkSession, sf_dir: str, calibration=None, *
 
 
 def scores(found: DataFrame) -> DataFrame:
-    return rounded(metrics.score(found, ["fold"]), "accuracy", "balanced_accuracy", "macro_f1", "kappa", "roc_auc", "average_precision", "brier", "ece")
+    """Scores by fold.  They read the predictions a dozen times: these are written once, and no later task holds a model."""
+    streams.shared_folder(found.sparkSession)
+    return rounded(metrics.score(found.checkpoint(eager=True), ["fold"]), "accuracy", "balanced_accuracy", "macro_f1", "kappa", "roc_auc", "average_precision", "brier", "ece")
 
 
 @query()

@@ -50,7 +50,8 @@ def linear_svm(names: list[str], rows: int) -> Pipeline:
 
 
 def random_forest(names: list[str], rows: int, trees: int = 300) -> Pipeline:
-    model = RandomForestClassifier(featuresCol="raw_features", labelCol=LABEL, weightCol=WEIGHT, numTrees=trees, minInstancesPerNode=5, maxDepth=16, seed=0)
+    # deep trees: rows remember their nodes, else each level sends every tree to every task and walks it from the root; the trees are the same
+    model = RandomForestClassifier(featuresCol="raw_features", labelCol=LABEL, weightCol=WEIGHT, numTrees=trees, minInstancesPerNode=5, maxDepth=16, seed=0, cacheNodeIds=True)
     return Pipeline(stages=[_assembled(names), model])
 
 

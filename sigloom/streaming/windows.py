@@ -11,7 +11,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -69,6 +69,14 @@ def runs(events: DataFrame, key: str, at: str, label: str, late: str) -> DataFra
     return events.withWatermark(at, late).select(key, at, label).groupBy(key).applyInPandasWithState(step, f"key {kind}, label string, begin_us long, end_us long, n long", "label string, begin long, end long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a temporary one only where the session names none."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt"))
+    return sc.getCheckpointDir()
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that a bounded stream gives, as a table in a Parquet folder beside the shared checkpoints.
 
@@ -76,10 +84,7 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     replaces what the batch before it wrote.
     """
     spark = stream.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt"))
-    path, checkpoint = (f"{sc.getCheckpointDir()}/{kind}-{name}" for kind in ("rows", "stream"))
+    path, checkpoint = (f"{shared_folder(spark)}/{kind}-{name}" for kind in ("rows", "stream"))
     if mode == "append":
         to_store(stream, path, checkpoint).awaitTermination()
     else:
